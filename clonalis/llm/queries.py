@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import mixing
+from . import decontaminate, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "repeats")
@@ -43,5 +46,8 @@ x AS (SELECT *, CASE WHEN source_size > 0 THEN whole + CAST(more > 0 AND cum - s
 SELECT doc_id, size, source_size, target, CAST(repeats * size AS BIGINT) AS taken, repeats FROM x
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_mix_sources": op5_mix_sources}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
+    "op5_mix_sources": op5_mix_sources,
+}
 ORACLE_SQL: dict[str, str] = {"op5_mix_sources": OP5_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup
+from . import decontaminate, mixing, near_dedup, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,17 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, manifest = token_store.write_token_files(_table(spark, sf_dir, "documents"), tokenizer_path=tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return token_store.read_token_files(root, manifest)
+
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -54,5 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op5_mix_sources": op5_mix_sources,
     "op7_near_dedup": op7_near_dedup,
+    "op8_token_output": op8_token_output,
 }
 ORACLE_SQL: dict[str, str] = {"op5_mix_sources": OP5_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, token_store
+from . import decontaminate, mixing, near_dedup, quality, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_token_files(root, manifest)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -66,5 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": op5_mix_sources,
     "op7_near_dedup": op7_near_dedup,
     "op8_token_output": op8_token_output,
+    "op9_quality": op9_quality,
 }
 ORACLE_SQL: dict[str, str] = {"op5_mix_sources": OP5_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, quality, token_store, warc_zip
+from . import decontaminate, matroska, mixing, near_dedup, quality, token_store, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
 
+def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.digests(matroska.write_media(_table(spark, sf_dir, "documents")))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_warc_zip": op3_warc_zip,
     "op5_mix_sources": op5_mix_sources,
+    "op6_matroska": op6_matroska,
     "op7_near_dedup": op7_near_dedup,
     "op8_token_output": op8_token_output,
     "op9_quality": op9_quality,

@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, matroska, mixing, near_dedup, quality, token_store, warc_zip
+from . import decontaminate, matroska, mixing, near_dedup, quality, token_counts, token_store, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary_path=tokenizer_path("piece_bpe_32k.model"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -30,12 +40,6 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, manifest = token_store.write_token_files(_table(spark, sf_dir, "documents"), tokenizer_path=tokenizer_path("byte_bpe_50k.json"), end_id=2)
     return token_store.read_token_files(root, manifest)
@@ -75,6 +79,7 @@ SELECT doc_id, size, source_size, target, CAST(repeats * size AS BIGINT) AS take
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_decontaminate": op2_decontaminate,
     "op3_warc_zip": op3_warc_zip,
     "op5_mix_sources": op5_mix_sources,

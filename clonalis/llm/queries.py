@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, matroska, mixing, near_dedup, quality, token_counts, token_store, warc_zip
+from . import decontaminate, html_text, licenses, matroska, mixing, near_dedup, quality, token_counts, token_store, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "repeats")
@@ -54,6 +58,10 @@ def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.read_archives(archives).drop("url")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("matches")
+
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -82,11 +90,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontaminate": op2_decontaminate,
     "op3_warc_zip": op3_warc_zip,
+    "op4_html_text": op4_html_text,
     "op5_mix_sources": op5_mix_sources,
     "op6_matroska": op6_matroska,
     "op7_near_dedup": op7_near_dedup,
     "op8_token_output": op8_token_output,
     "op9_quality": op9_quality,
+    "op10_license_scan": op10_license_scan,
 }
 OP3_SQL = """
 WITH p AS (

@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .runtime import Scratch, filesystem, new_path, remove, write_atomically
 
@@ -185,16 +184,24 @@ def _stage(root: str, path: str, end_id: int) -> Callable:
         name = f"{root}/staged/{shard:08d}.ids"
         write_atomically(name, parts())
         if docs:
-            some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_pydict({
                 "shard": pa.array([shard], pa.int64()), "path": pa.array([name]), "itemsize": pa.array([dtype.itemsize], pa.int32()),
-                "n_docs": pa.array([docs], pa.int64()), "n_ids": pa.array([int(counts.sum())], pa.int64()),
-                "counts": pa.array([[{"id": int(i), "n": int(counts[i])} for i in some]], pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))),
+                "n_docs": pa.array([docs], pa.int64()), "n_ids": pa.array([int(counts.sum())], pa.int64()), "counts": pa.array([counts.astype("<i8").tobytes()], pa.binary()),
             })
 
     return run
 
 
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for value in batch.column("counts"):
+            own = np.frombuffer(value.as_buffer(), dtype="<i8")
+            total = own.copy() if total is None else total + own
+    if total is not None:
+        yield pa.RecordBatch.from_pydict({"counts": pa.array([total.tobytes()], pa.binary())})
+
+
 def _staged_blocks(path: str, itemsize: int) -> Iterator[Block]:
     files, name = filesystem(path)
     codec, dtype = pa.Codec("zstd"), np.dtype(f"<u{itemsize}")
@@ -245,8 +252,8 @@ def write_token_files(
     an empty table writes no file; other columns are ignored.
 
     One range shuffle sorts the texts; a task tokenizes its range into a staging file and returns how
-    often each id occurs, at most a row for each vocabulary entry; the sums, again no more than the
-    vocabulary, rank the ids, and each staging file becomes a token file.
+    often each id of the vocabulary occurs. About the square root of n tasks add these vectors up, the
+    driver adds up theirs, and with the ids ranked each staging file becomes a token file.
     """
     spark = docs.sparkSession
     root = (root or new_path(spark, "tokens")).rstrip("/")
@@ -254,11 +261,12 @@ def write_token_files(
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     staged = scratch.save(ordered.mapInArrow(
-        _stage(root, tokenizer_path, end_id), "shard bigint, path string, itemsize int, n_docs bigint, n_ids bigint, counts array<struct<id:bigint,n:bigint>>"
+        _stage(root, tokenizer_path, end_id), "shard bigint, path string, itemsize int, n_docs bigint, n_ids bigint, counts binary"
     ), "staged")
-    ranked = staged.select(F.explode("counts").alias("c")).groupBy("c.id").agg(F.sum("c.n").alias("n")).collect()
-    order = sorted(ranked, key=lambda r: (-r["n"], r["id"]))
-    write_atomically(f"{root}/vocab.bin", [np.array([r["id"] for r in order], dtype="<u4").tobytes()])
+    few = staged.select("counts").repartition(max(1, int(n**0.5))).mapInArrow(_add_up, "counts binary")
+    sums = sum((np.frombuffer(r["counts"], dtype="<i8") for r in few.toLocalIterator()), np.zeros(1, dtype=np.int64))
+    used = np.flatnonzero(sums)
+    write_atomically(f"{root}/vocab.bin", [used[np.lexsort((used, -sums[used]))].astype("<u4").tobytes()])
     shards = staged.select("shard", "path", "itemsize", "n_docs", "n_ids").repartitionByRange(n, "shard")
     manifest = scratch.save(shards.mapInArrow(_encode_shards(root), "shard bigint, path string, n_docs bigint, n_ids bigint, n_bytes bigint"), "manifest")
     remove(spark, f"{root}/staged")

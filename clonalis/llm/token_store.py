@@ -13,7 +13,6 @@ control bytes; data bytes. ``vocab.bin`` beside the files holds uint32 ids by ra
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -88,6 +87,10 @@ def read_blocks(path: str, vocabulary: np.ndarray) -> Iterator[Block]:
             yield Block([int(d) if h else None for h, d in zip(has, names, strict=True)], sizes, vocabulary[ranks])
 
 
+_ALL_BEFORE_SPACE = tuple(c + " " for c in map(chr, range(0x3001)) if c.isspace())
+_BEFORE_SPACE = tuple(w for w in _ALL_BEFORE_SPACE if w.isascii())
+
+
 class _Encoder:
     """ids of texts by the tokenizers library, each text as if encoded whole.
 
@@ -105,8 +108,10 @@ class _Encoder:
             kind = json.load(f)
         before = kind.get("pre_tokenizer") or {}
         self.by_piece = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not kind.get("normalizer")
-        added = [re.escape(t["content"]) for t in kind.get("added_tokens", ())]
-        self.whole = re.compile("|".join([r"\s ", *added]))
+        self.added = [t["content"] for t in kind.get("added_tokens", ())]
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(names.values(), default=0) + 1, dtype=bool)  # ids whose bytes start with a space
+        self.opens[[i for name, i in names.items() if name.startswith("\u0120")]] = True
         self.size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), 1)
         self.dtype = np.dtype("<u2" if self.size < 1 << 16 else "<u4")
         self.kept: dict[str, bytes] = {}
@@ -114,9 +119,30 @@ class _Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """ids of " " + piece for each: many at once, cut before each id that starts with a space."""
+        apart = [p for p in pieces if not p or p[-1].isspace()]
+        joined = [p for p in pieces if p and not p[-1].isspace()]
+        out = dict(zip(apart, self._encode([" " + p for p in apart]), strict=True)) if apart else {}
+        if joined:
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(joined)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            cuts = np.flatnonzero(self.opens[ids])
+            if len(cuts) == len(joined) and cuts[0] == 0:
+                data, size = ids.tobytes(), self.dtype.itemsize
+                ends = [*(cuts[1:] * size).tolist(), len(data)]
+                out.update(zip(joined, [data[a:b] for a, b in zip((cuts * size).tolist(), ends, strict=True)], strict=True))
+            else:
+                out.update(zip(joined, self._encode([" " + p for p in joined]), strict=True))
+        return [out[p] for p in pieces]
+
+    def _by_piece(self, text: str) -> bool:
+        if not self.by_piece or any(a in text for a in self.added):
+            return False
+        return not any(w in text for w in (_BEFORE_SPACE if text.isascii() else _ALL_BEFORE_SPACE))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not self.by_piece or self.whole.search(t)]
+        whole = [i for i, t in enumerate(texts) if not self._by_piece(t)]
         for i in range(0, len(whole), 64):
             for k, ids in zip(whole[i : i + 64], self._encode([texts[k] for k in whole[i : i + 64]]), strict=True):
                 out[k] = ids
@@ -124,8 +150,8 @@ class _Encoder:
         if len(self.kept) > CACHE_ENTRIES:
             self.kept.clear()
         need = list(set().union(*(p[1:] for p in pieces.values())) - self.kept.keys())
-        for i in range(0, len(need), 4096):
-            self.kept.update(zip(need[i : i + 4096], self._encode([" " + p for p in need[i : i + 4096]]), strict=True))
+        for i in range(0, len(need), 512):
+            self.kept.update(zip(need[i : i + 512], self._encode_pieces(need[i : i + 512]), strict=True))
         first = list({p[0] for p in pieces.values()})
         heads = dict(zip(first, self._encode(first), strict=True)) if first else {}
         for i, p in pieces.items():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Widest cloneID whose bases fit into the bits of a long.
 PACKED_WIDTH = 62
-_PACKABLE = f"^[ACGTN0-]{{0,{PACKED_WIDTH}}}$"
+_PACKABLE = f"^[ACGTN0-]{{1,{PACKED_WIDTH}}}$"
 _SYMBOLS = "ACGTN-0"
 
 
@@ -55,7 +55,7 @@ def packed(clone_id: Column) -> Column:
 
 def _positions(s: Column, t: Column) -> tuple[Column, Column]:
     pairs = F.arrays_zip(F.split(s, "").alias("s"), F.split(t, "").alias("t"))
-    known = F.filter(pairs, lambda p: ~p["s"].isin("-", "0") & ~p["t"].isin("-", "0"))
+    known = F.filter(pairs, lambda p: ~p["s"].isin("-", "0", "") & ~p["t"].isin("-", "0"))
     return F.size(known), F.size(F.filter(known, lambda p: p["s"] != p["t"]))
 
 

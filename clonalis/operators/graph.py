@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
+from ..materialize import materialize
 from .components import connected_components
 
 
@@ -134,9 +135,9 @@ def component_density(graph: CellGraph, placed: DataFrame | None = None) -> Data
     return t.select("*", (F.col("n_edges") == F.col("possible_edges")).alias("complete"))
 
 
-def prune(graph: CellGraph, keep_doublets: bool = False, settle=lambda df: df) -> tuple[CellGraph, dict[str, DataFrame]]:
+def prune(graph: CellGraph, keep_doublets: bool = False, settle=materialize) -> tuple[CellGraph, dict[str, DataFrame]]:
     """Removes bridges and, unless they are kept, doublets, bridges again and doublets again, each found
-    on the graph as it then is. settle: fixes a graph's edges before they are looked at. Returns what
+    on the graph as it then is. settle: fixes a result before it is looked at again; without that, plans would grow with each step. Returns what
     was removed too."""
     gone: dict[str, DataFrame] = {}
     graph = graph._replace(edges=settle(graph.edges))

@@ -65,7 +65,7 @@ def _graph(spark, sf, threshold):
 
 def _pruned(spark, sf, threshold):
     graph, cells = _graph(spark, sf, threshold)
-    graph, gone = gr.prune(graph, settle=materialize)
+    graph, gone = gr.prune(graph)
     return graph, gone, cells
 
 

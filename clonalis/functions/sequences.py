@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,8 +42,12 @@ def is_low_complexity(clone_id: Column) -> Column:
 
 
 def kmers(text: Column, k: int) -> Column:
-    """Overlapping k-mers; a text shorter than k has none."""
-    return F.when(F.length(text) >= k, F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """Overlapping k-mers; a text shorter than k has none. The characters are put side by side in k
+    shifted arrays, which takes time in proportion to the text (substring would count from its start)."""
+    n = F.length(text) - (k - 1)
+    shifted = [F.slice(F.split(text, ""), F.lit(j + 1), n) for j in range(k)]
+    joined = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y)), shifted)
+    return F.when(n >= 1, joined).otherwise(F.array().cast("array<string>"))
 
 
 def packed(clone_id: Column) -> Column:

@@ -144,4 +144,6 @@ def density(k: int) -> str:
 
 
 def sql(ctes: list[tuple[str, str]], final: str) -> str:
+    if not ctes:
+        return final
     return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({text})" for name, text in ctes) + "\n" + final

@@ -27,7 +27,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     own = spark.read.text(path).filter(~F.col("value").startswith("@") & (F.length("value") > 0)).select(fields.alias("f"))
     tags = F.filter(F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0))), lambda t: F.substring(t, 4, 2) == "Z:")
     return own.select(
-        F.col("f")[2].alias("rname"), (F.col("f")[3].cast("long") - 1).alias("pos"), F.col("f")[5].alias("cigar"), F.col("f")[9].alias("seq"), F.col("f")[1].cast("int").alias("flag"),
+        F.get("f", F.lit(2)).alias("rname"), (F.get("f", F.lit(3)).cast("long") - 1).alias("pos"), F.get("f", F.lit(5)).alias("cigar"), F.get("f", F.lit(9)).alias("seq"), F.get("f", F.lit(1)).cast("int").alias("flag"),
         F.map_from_entries(F.transform(tags, lambda t: F.struct(F.substring(t, 1, 2), t.substr(F.lit(6), F.length(t))))).alias("tags"),
     )
 

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .runtime import filesystem, new_path, write_atomically
+from .runtime import filesystem, lean, new_path, write_atomically
 from .textvec import ALNUM, utf8_chunks, words_of
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 8 << 20  # of test text that a task holds at a time
 _BITS = 20  # of a position in a shard
 _DROP = np.uint64(64 - 44)
@@ -276,7 +276,7 @@ def find_contamination(
                     names=schema.names,
                 )
 
-    return source.mapInArrow(rows, schema)
+    return source.mapInArrow(lean(rows), schema)
 
 
 def remove_contaminated(
@@ -291,4 +291,4 @@ def remove_contaminated(
             for start, f in _found_in(batch, text_col, paths, window):
                 yield batch.slice(start, len(f.n_hit)).filter(pa.array(f.n_hit == 0))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(lean(rows), docs.schema)

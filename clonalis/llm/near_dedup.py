@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import Scratch
+from .runtime import Scratch, lean
 from .textvec import NON_SPACE, mix, shingle_sets, utf8_chunks, words_of
 
 SHINGLE, THRESHOLD_PERCENT, BANDS, ROWS = 5, 85, 24, 5
@@ -191,7 +191,7 @@ def _grouped(members: DataFrame) -> DataFrame:
 def _links(units: DataFrame, payloads: DataFrame, alike: Callable, percent: int) -> DataFrame:
     """payloads: (id, payload). A block's members carry their payload to the units they are in."""
     full = units.join(payloads, "id").select("g", "i", "j", "id", "payload")
-    return full.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "id").mapInArrow(_linked(alike, percent), "u bigint, v bigint")
+    return full.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "id").mapInArrow(lean(_linked(alike, percent)), "u bigint, v bigint")
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    described = scratch.save(source.mapInArrow(_describe, "doc_id bigint, " + _DESCRIBED), "described")
+    described = scratch.save(source.mapInArrow(lean(_describe), "doc_id bigint, " + _DESCRIBED), "described")
     live = described.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = scratch.save(live.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("class_id")), "classes")
     representatives = classes.select(F.col("class_id").alias("id")).distinct()
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     likely = scratch.save(_links(units, signed, _alike_signatures, percent).distinct(), "likely")
 
     groups = scratch.save(connected_components(likely).select(F.col("component").alias("g"), F.col("node").alias("id")), "groups")
-    texts = source.join(groups.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets_of, "id bigint, payload binary")
+    texts = source.join(groups.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(lean(_sets_of), "id bigint, payload binary")
     sets = scratch.save(texts, "sets")
     links = scratch.save(_links(_in_blocks(_grouped(groups)), sets, _alike_sets, percent).distinct(), "links")
     scratch.drop(units, likely, sets)

@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Scratch
+from .runtime import Scratch, lean
 from .textvec import NON_SPACE, Words, utf8_chunks, words_of
 
+#: Text described at once.
+LOT_BYTES = 1 << 19
 #: Bounds of the training sample: labelled rows and unlabelled rows, of least hash.
 LABELLED, UNLABELLED = 20_000, 40_000
 HIDDEN, STEPS, BATCH, RATE, DECAY, SEED = 32, 2000, 512, 3e-3, 1e-4, 9
@@ -145,11 +147,11 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in utf8_chunks(batch.column("text")):
+            for start, texts in utf8_chunks(batch.column("text"), LOT_BYTES):
                 x = features(texts)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(x)), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
 
-    return source.mapInArrow(rows, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, x binary")
+    return source.mapInArrow(lean(rows), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, x binary")
 
 
 def _matrix(rows: list) -> np.ndarray:
@@ -199,12 +201,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in utf8_chunks(batch.column("text")):
+            for start, texts in utf8_chunks(batch.column("text"), LOT_BYTES):
                 score = model.score(features(texts).astype(np.float64))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(score)), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    scored = source.mapInArrow(rows, f"doc_id {kind}, score double, predicted int")
+    scored = source.mapInArrow(lean(rows), f"doc_id {kind}, score double, predicted int")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
@@ -215,8 +217,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in utf8_chunks(batch.column(text_col)):
+            for start, texts in utf8_chunks(batch.column(text_col), LOT_BYTES):
                 good = model.score(features(texts).astype(np.float64)) >= 0.5
                 yield batch.slice(start, len(texts)).filter(pa.array(good))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(lean(rows), docs.schema)

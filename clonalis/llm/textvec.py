@@ -14,7 +14,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+HASH_BYTES = 1 << 17
 _MULT = 0x9E3779B97F4A7C15 | 1
 _U64 = (1 << 64) - 1
 
@@ -52,8 +53,16 @@ def _byte_values() -> np.ndarray:
     return np.random.default_rng(20_11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
-@lru_cache(maxsize=4)
 def _powers(n: int, base: int) -> np.ndarray:
+    return _some_powers(2 * HASH_BYTES, base)[:n] if n <= 2 * HASH_BYTES else _more_powers(n, base)
+
+
+@lru_cache(maxsize=2)
+def _some_powers(n: int, base: int) -> np.ndarray:
+    return _more_powers(n, base)
+
+
+def _more_powers(n: int, base: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
     with np.errstate(over="ignore"):
@@ -74,9 +83,9 @@ def _run_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     first = 0
     while first < len(start):
         origin = start[first]
-        last = max(first + 1, int(np.searchsorted(end, origin + CHUNK_BYTES, "right")))
+        last = max(first + 1, int(np.searchsorted(end, origin + HASH_BYTES, "right")))
         piece = buffer[origin : end[last - 1]]
-        size = 1 << max(16, int(len(piece) + 1).bit_length())
+        size = len(piece) + 1
         with np.errstate(over="ignore"):
             sums = np.zeros(len(piece) + 1, dtype=np.uint64)
             np.cumsum(_byte_values()[piece] * _powers(size, _MULT)[: len(piece)], out=sums[1:])

@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .runtime import Scratch, filesystem, new_path, remove, write_atomically
+from .runtime import Scratch, filesystem, lean, new_path, remove, write_atomically
 
 MAGIC = b"SVB1"
 _HEAD = "<IQQQ"
-CACHE_ENTRIES = 1_000_000
-BATCH_CHARS = 4 << 20
+#: Kept pieces at which the younger half of a worker's cache becomes the older: about 250 bytes each.
+CACHE_ENTRIES = 400_000
+BATCH_CHARS = 1 << 20
 #: Byte values that the two bits stand for: 1, 2, 3 or 4 bytes.
 LENGTHS = np.array([[(c >> shift & 3) + 1 for shift in (0, 2, 4, 6)] for c in range(256)], dtype=np.int64)
 
@@ -91,6 +92,9 @@ _ALL_BEFORE_SPACE = tuple(c + " " for c in map(chr, range(0x3001)) if c.isspace(
 _BEFORE_SPACE = tuple(w for w in _ALL_BEFORE_SPACE if w.isascii())
 
 
+_PUNCTUATION = ".,;:!?)]}\"#$%&*"
+
+
 class _Encoder:
     """ids of texts by the tokenizers library, each text as if encoded whole.
 
@@ -100,9 +104,10 @@ class _Encoder:
     string occurs, are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
@@ -115,6 +120,8 @@ class _Encoder:
         self.size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), 1)
         self.dtype = np.dtype("<u2" if self.size < 1 << 16 else "<u4")
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -135,6 +142,26 @@ class _Encoder:
                 out.update(zip(joined, self._encode([" " + p for p in joined]), strict=True))
         return [out[p] for p in pieces]
 
+    def _learn(self, need: set[str]) -> None:
+        """Keeps the ids of the pieces. A word that ends in a letter is apart from the punctuation after it."""
+        again = need & self.older.keys()
+        self.kept.update((p, self.older[p]) for p in again)
+        need -= again
+        ending = {}
+        for p in need:
+            word = p.rstrip(_PUNCTUATION)
+            if word and len(word) < len(p) and word[-1].isalpha():
+                ending[p] = word, p[len(word) :]
+        new = list((need - ending.keys()) | {w for w, _ in ending.values()} - self.kept.keys())
+        for i in range(0, len(new), 512):
+            self.kept.update(zip(new[i : i + 512], self._encode_pieces(new[i : i + 512]), strict=True))
+        if len(self.tails) > self.most:
+            self.tails.clear()
+        tails = list({t for _, t in ending.values()} - self.tails.keys())
+        if tails:
+            self.tails.update(zip(tails, self._encode(tails), strict=True))
+        self.kept.update((p, self.kept[w] + self.tails[t]) for p, (w, t) in ending.items())
+
     def _by_piece(self, text: str) -> bool:
         if not self.by_piece or any(a in text for a in self.added):
             return False
@@ -147,11 +174,9 @@ class _Encoder:
             for k, ids in zip(whole[i : i + 64], self._encode([texts[k] for k in whole[i : i + 64]]), strict=True):
                 out[k] = ids
         pieces = {i: t.split(" ") for i, t in enumerate(texts) if out[i] is None}
-        if len(self.kept) > CACHE_ENTRIES:
-            self.kept.clear()
-        need = list(set().union(*(p[1:] for p in pieces.values())) - self.kept.keys())
-        for i in range(0, len(need), 512):
-            self.kept.update(zip(need[i : i + 512], self._encode_pieces(need[i : i + 512]), strict=True))
+        if len(self.kept) > self.most:
+            self.kept, self.older = {}, self.kept
+        self._learn(set().union(*(p[1:] for p in pieces.values())) - self.kept.keys())
         first = list({p[0] for p in pieces.values()})
         heads = dict(zip(first, self._encode(first), strict=True)) if first else {}
         for i, p in pieces.items():
@@ -159,17 +184,18 @@ class _Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> _Encoder:
-    return _Encoder(path)
+@lru_cache(maxsize=1)
+def _encoder(path: str, most: int = CACHE_ENTRIES) -> _Encoder:
+    return _Encoder(path, most)
 
 
 def _some(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[list, list[str]]]:
     """Rows in lots of about BATCH_CHARS."""
     ids, texts, size = [], [], 0
-    for d, t in zip(batch.column("doc_id").to_pylist(), batch.column(text_col).to_pylist(), strict=True):
+    names, column = batch.column("doc_id").to_pylist(), batch.column(text_col)
+    for i, d in enumerate(names):
         ids.append(d)
-        texts.append(t or "")
+        texts.append(column[i].as_py() or "")
         size += len(texts[-1])
         if size >= BATCH_CHARS:
             yield ids, texts
@@ -181,11 +207,11 @@ def _some(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[list, list[str
 _FRAME = "<IQQQ"  # documents, ids, plain bytes, packed bytes
 
 
-def _stage(root: str, path: str, end_id: int) -> Callable:
+def _stage(root: str, path: str, end_id: int, most: int) -> Callable:
     """Tokenizes a sorted partition into a staging file; yields its place, size and id counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, encoder, codec = TaskContext.get().partitionId(), _encoder(path), pa.Codec("zstd")
+        shard, encoder, codec = TaskContext.get().partitionId(), _encoder(path, most), pa.Codec("zstd")
         dtype = encoder.dtype if end_id < 1 << (8 * encoder.dtype.itemsize) else np.dtype("<u4")
         counts, docs = np.zeros(max(encoder.size, end_id + 1), dtype=np.int64), 0
         tail = np.array([end_id], dtype=encoder.dtype if end_id < 1 << (8 * encoder.dtype.itemsize) else dtype).tobytes()
@@ -268,7 +294,7 @@ def _encode_shards(root: str) -> Callable:
 
 
 def write_token_files(
-    docs: DataFrame, *, tokenizer_path: str, end_id: int, root: str | None = None, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, *, tokenizer_path: str, end_id: int, root: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = CACHE_ENTRIES,
 ) -> tuple[str, DataFrame]:
     """Writes all documents' ids, each document's followed by end_id, in ascending order of the id.
 
@@ -279,7 +305,8 @@ def write_token_files(
 
     One range shuffle sorts the texts; a task tokenizes its range into a staging file and returns how
     often each id of the vocabulary occurs. About the square root of n tasks add these vectors up, the
-    driver adds up theirs, and with the ids ranked each staging file becomes a token file.
+    driver adds up theirs, and with the ids ranked each staging file becomes a token file. cache_entries
+    bounds what a worker keeps of pieces it has encoded; it changes time and memory, not results.
     """
     spark = docs.sparkSession
     root = (root or new_path(spark, "tokens")).rstrip("/")
@@ -287,14 +314,14 @@ def write_token_files(
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     staged = scratch.save(ordered.mapInArrow(
-        _stage(root, tokenizer_path, end_id), "shard bigint, path string, itemsize int, n_docs bigint, n_ids bigint, counts binary"
+        lean(_stage(root, tokenizer_path, end_id, cache_entries)), "shard bigint, path string, itemsize int, n_docs bigint, n_ids bigint, counts binary"
     ), "staged")
     few = staged.select("counts").repartition(max(1, int(n**0.5))).mapInArrow(_add_up, "counts binary")
     sums = sum((np.frombuffer(r["counts"], dtype="<i8") for r in few.toLocalIterator()), np.zeros(1, dtype=np.int64))
     used = np.flatnonzero(sums)
     write_atomically(f"{root}/vocab.bin", [used[np.lexsort((used, -sums[used]))].astype("<u4").tobytes()])
     shards = staged.select("shard", "path", "itemsize", "n_docs", "n_ids").repartitionByRange(n, "shard")
-    manifest = scratch.save(shards.mapInArrow(_encode_shards(root), "shard bigint, path string, n_docs bigint, n_ids bigint, n_bytes bigint"), "manifest")
+    manifest = scratch.save(shards.mapInArrow(lean(_encode_shards(root)), "shard bigint, path string, n_docs bigint, n_ids bigint, n_bytes bigint"), "manifest")
     remove(spark, f"{root}/staged")
     return root, manifest
 
@@ -330,4 +357,4 @@ def read_token_files(root: str, manifest: DataFrame, keep_ids: bool = False) ->
                     yield pa.RecordBatch.from_arrays(columns, names=names)
                     at += len(own)
 
-    return files.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if keep_ids else ""))
+    return files.mapInArrow(lean(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if keep_ids else ""))

@@ -63,8 +63,7 @@ def test_code_round_trip(values):
     assert ts.decode_ranks(control, data, len(values)).tolist() == values
 
 
-def test_small_cache(monkeypatch):
-    monkeypatch.setattr(ts, "CACHE_ENTRIES", 2)
-    encoder, tokenizer = ts._Encoder(PATH), plain()
+def test_small_cache():
+    encoder, tokenizer = ts._Encoder(PATH, 2), plain()
     for text in ("a b c d e f", "c d x y z", "a b c"):
         assert np.frombuffer(encoder([text])[0], encoder.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids

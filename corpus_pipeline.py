@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from clonalis.llm import decontaminate, mixing, near_dedup, quality, queries, token_store
 from clonalis.llm.runtime import Scratch
 
+#: Pieces that a worker keeps while it tokenizes; fewer than by default, since executors serve all stages.
+CACHE_ENTRIES = 120_000
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects."""
@@ -35,7 +38,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, read back: doc_id, start, n_tokens and ids_crc32 of each copy."""
-    root, manifest = token_store.write_token_files(docs, tokenizer_path=queries.tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    root, manifest = token_store.write_token_files(
+        docs, tokenizer_path=queries.tokenizer_path("byte_bpe_50k.json"), end_id=2, cache_entries=CACHE_ENTRIES
+    )
     return token_store.read_token_files(root, manifest)
 
 

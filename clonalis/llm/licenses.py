@@ -15,8 +15,6 @@ TRIGGER = re.compile(r"licen[cs]|copyright|redistribut|warrant|spdx|public domai
 _END = re.compile(r"[.!?;](?=[\s\"')*/#]|$)|\n[ \t*/#;%>-]*\n|\Z")
 _START = re.compile(r"[.!?;](?=[\s\"')*/#])|\n[ \t*/#;%>-]*\n")
 _LEADER = re.compile(r"(?m)^[ \t]*(?:[*/#;%>|-]+[ \t]*)+")
-#: Most characters of a sentence that are matched; longer ones count as unknown.
-LONGEST = 4000
 MOST_LINES = 12
 #: Most characters between two sentences of one rule.
 APART = 400
@@ -162,12 +160,11 @@ def sentences(text: str) -> list[Sentence]:
     at = TRIGGER.search(text)
     while at:
         start = done
-        for mark in _START.finditer(text, max(done, at.start() - LONGEST), at.start()):
+        for mark in _START.finditer(text, done, at.start()):
             start = mark.end()
-        start = max(start, at.start() - LONGEST)
         end = _END.search(text, at.end()).end()
         own = text[start:end]
-        out.append(Sentence(identify_lines(own) if len(own) <= LONGEST else None, start + len(own) - len(own.lstrip()), end))
+        out.append(Sentence(identify_lines(own), start + len(own) - len(own.lstrip()), end))
         done = max(end, at.end())
         at = TRIGGER.search(text, done)
     return out

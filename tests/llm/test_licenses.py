@@ -119,3 +119,11 @@ def test_edge_cases(spark):
     assert rows[0].licenses == "MIT" and MIT[rows[0].matches[0].start : rows[0].matches[0].end] == MIT
     assert (rows[4].n_sentences, rows[4].n_unmatched) == (1, 1) and rows[5].n_sentences == 20000 and rows[1].n_sentences == 0
     assert lc.scan_licenses(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [100, 5_000, 50_000, 500_000])
+@pytest.mark.parametrize("lead", ["word ", "word\n", "word, word - word\n * "])
+def test_licence_line_after_text_without_a_stop(n, lead):
+    before = (lead * (n // len(lead) + 1)).rstrip()
+    assert scan(before + "\nReleased under the MIT License.")[0] == "MIT"
+    assert scan(before + "\nLicensed under the Apache License,\nVersion 2.0")[0] == "Apache-2.0"

@@ -4,6 +4,7 @@ to known sentence identifiers, and the sequence of identifiers is matched agains
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -15,17 +16,21 @@ TRIGGER = re.compile(r"licen[cs]|copyright|redistribut|warrant|spdx|public domai
 _END = re.compile(r"[.!?;](?=[\s\"')*/#]|$)|\n[ \t*/#;%>-]*\n|\Z")
 _START = re.compile(r"[.!?;](?=[\s\"')*/#])|\n[ \t*/#;%>-]*\n")
 _LEADER = re.compile(r"(?m)^[ \t]*(?:[*/#;%>|-]+[ \t]*)+")
-MOST_LINES = 12
 #: Most characters between two sentences of one rule.
 APART = 400
 
 
 def normalise(sentence: str) -> str:
     """Lower case, comment leaders and quotes dropped, one space between words, version numbers kept."""
+    return " ".join(line for line in normal_lines(sentence) if line)
+
+
+def normal_lines(sentence: str) -> list[str]:
+    """Each line of a sentence, normalised."""
     text = _LEADER.sub(" ", sentence).lower().replace("licence", "license")
-    text = re.sub(r"[^a-z0-9.+ -]+", " ", text)
+    text = re.sub(r"[^a-z0-9.+ \n-]+", " ", text)
     text = re.sub(r"\.(?!\d)|(?<![a-z0-9])[-.+]+(?![a-z0-9])", " ", text)
-    return " ".join(text.split())
+    return [" ".join(line.split()) for line in text.split("\n")]
 
 
 _VERSION = r"(?: ?(?:version|ver|v))? ?(?P<version>\d(?:\.\d)?)"
@@ -83,8 +88,9 @@ SENTENCES = [
     ("ApacheSee", r"see the license for the specific language governing permissions and limitations under the license"),
     ("UnlicensePD", r"this is free and unencumbered software released into the public domain"),
     ("PublicDomain", r"(?:this|the) (?:[a-z-]+ ){1,3}(?:is|has been)(?: placed| released| dedicated)? (?:in|into|to) the public domain"),
-    ("AllRights", r"(?:copyright .* )?all rights reserved"),
-    ("Copyright", r"(?:portions )?copyright (?:c )?(?:by )?(?:\d{4}.*|.* \d{4}.*)"),
+    ("AllRights", r"copyright .* all rights reserved"),
+    ("AllRights", r"all rights reserved"),
+    ("Copyright", r"(?:portions )?copyright .*\b\d{4}.*"),
 ]
 #: Ordered: the first rule whose identifiers follow each other from a sentence on wins. "x:*" gives its own license.
 RULES = [
@@ -107,9 +113,19 @@ RULES = [
     ("Public-Domain", ["PublicDomain"]),
     ("All-Rights-Reserved", ["AllRights"]),
 ]
-_GRANTS = [(family, re.compile(_GRANT.replace("{}", pattern))) for family, pattern in NAMES]
-_FREE_RE, _SPDX = re.compile(_FREE), re.compile(r"spdx-license-identifier (?P<name>[a-z0-9.+ -]+)$")
-_FIXED = [(name, re.compile(f"^{pattern}$")) for name, pattern in SENTENCES]
+
+
+def _over_lines(pattern: str) -> list[re.Pattern]:
+    """The parts of a pattern between its .*, each to be searched after the one before; spaces are line breaks too,
+    the first part starts a line, and the last one ends a line."""
+    parts = f"(?m)^{pattern.strip('^$')}$".replace(" ", r"[ \n]").replace(r"[[ \n]-]", r"[ \n-]").split(".*")
+    return [re.compile(p if p.startswith("(?m)") else "(?m)" + (".*$" if p == "$" else p)) for p in parts]
+
+
+_GRANTS = [(family, _over_lines(_GRANT.replace("{}", pattern))) for family, pattern in NAMES]
+_GRANTED = re.compile(r"(?:licensed|released|distributed|available|published|provided|covered|redistributable|shared|offered)(?:[ \n]to[ \n]you|[ \n]freely)?[ \n](?:under|by|subject|according|in)[ \n]")
+_FREE_RE, _SPDX = _over_lines(_FREE), [re.compile(r"(?m)spdx-license-identifier[ \n](?P<name>[a-z0-9.+ -]+)$")]
+_FIXED = [(name, _over_lines(pattern)) for name, pattern in SENTENCES]
 
 
 def _license(family: str, found: re.Match) -> str:
@@ -125,27 +141,73 @@ def _license(family: str, found: re.Match) -> str:
     return name
 
 
-def identify(sentence: str) -> str | None:
-    """Identifier of a normalised sentence: a fixed one, or Grant:, Free: or Spdx: with a license."""
-    if found := _SPDX.search(sentence):
-        return f"Spdx:{found['name'].strip()}"
-    if found := _FREE_RE.match(sentence):
-        words = found["name"]
-        return "Free:" + _license("AGPL" if "affero" in words else "GPL" if "lesser" not in words and "library" not in words else "LGPL", found)
-    for family, pattern in _GRANTS:
-        if found := pattern.match(sentence):
-            return "Grant:" + _license(family, found)
-    return next((name for name, pattern in _FIXED if pattern.match(sentence)), None)
+def _found(parts: list[re.Pattern], text: str) -> Iterator[tuple[int, int, re.Match]]:
+    """Where the parts follow each other. If some part is not found after the first place of those before it, it is
+    not found after any later one, so the search ends."""
+    at = 0
+    while first := parts[0].search(text, at):
+        last = first
+        for part in parts[1:]:
+            if not (last := part.search(text, last.end())):
+                return
+        yield first.start(), last.end(), first
+        at = max(last.end(), first.end(), at + 1)
+
+
+def identify(text: str) -> list[tuple[str, int, int]]:
+    """Identifiers of the runs of lines of a text of normalised lines, with their places in it, in order: a fixed one,
+    or Grant:, Free: or Spdx: with a license. Runs don't overlap; what is tried first wins."""
+    out: list[tuple[int, int, str]] = []
+
+    def add(name: str, start: int, end: int) -> None:
+        k = bisect_right(out, (start, end))
+        if (k == 0 or out[k - 1][1] <= start) and (k == len(out) or end <= out[k][0]):
+            out.insert(k, (start, end, name))
+
+    if "spdx" in text:
+        for a, b, found in _found(_SPDX, text):
+            add(f"Spdx:{found['name'].strip()}", a, b)
+    if "free software foundation" in text.replace("\n", " "):
+        for a, b, found in _found(_FREE_RE, text):
+            words = found["name"]
+            add("Free:" + _license("AGPL" if "affero" in words else "GPL" if "lesser" not in words and "library" not in words else "LGPL", found), a, b)
+    if _GRANTED.search(text):
+        for family, parts in _GRANTS:
+            for a, b, found in _found(parts, text):
+                add("Grant:" + _license(family, found), a, b)
+    for name, parts in _FIXED:
+        if name != "Copyright" or not out:
+            for a, b, _ in _found(parts, text):
+                add(name, a, b)
+                if name == "Copyright":
+                    break
+    return [(name, a, b) for a, b, name in out]
+
+
+def known_lines(sentence: str) -> list[tuple[str, int, int]]:
+    """Identifiers of the runs of lines of a sentence that are known, with their character ranges: a heading or text
+    without a stop may stand before, between and after them."""
+    lines = normal_lines(sentence)
+    known = identify("\n".join(line for line in lines if line))
+    if not known:
+        return []
+    starts, places, at, place = [], [], 0, 0  # of the lines that have words, as normalised and as they stand
+    for raw, line in zip(sentence.split("\n"), lines, strict=True):
+        if line:
+            starts.append(at)
+            places.append((place + len(raw) - len(raw.lstrip()), place + len(raw)))
+            at += len(line) + 1
+        place += len(raw) + 1
+    out = []
+    for name, a, b in known:
+        first, last = bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1
+        out.append((name, places[first][0], len(sentence) if last == len(starts) - 1 else places[last][1]))
+    return out
 
 
 def identify_lines(sentence: str) -> str | None:
-    """Identifier of a sentence as it stands; where it has none, what is known may start at one of its
-    lines (a heading or text without a full stop stands before it), or be the last such line."""
-    found = identify(normalise(sentence))
-    lines = sentence.strip().split("\n")
-    for k in range(1, min(len(lines), MOST_LINES)):
-        found = found or identify(normalise("\n".join(lines[-k:])))
-    return found
+    """Identifier of the first known run of lines of a sentence."""
+    return next((name for name, _, _ in known_lines(sentence)), None)
 
 
 class Sentence(NamedTuple):
@@ -155,7 +217,8 @@ class Sentence(NamedTuple):
 
 
 def sentences(text: str) -> list[Sentence]:
-    """The sentences of a text that have a word of TRIGGER, in order, with their places."""
+    """The sentences of a text that have a word of TRIGGER, in order, with their places; if runs of lines of one are
+    known, each of these instead."""
     out, done = [], 0
     at = TRIGGER.search(text)
     while at:
@@ -164,7 +227,7 @@ def sentences(text: str) -> list[Sentence]:
             start = mark.end()
         end = _END.search(text, at.end()).end()
         own = text[start:end]
-        out.append(Sentence(identify_lines(own), start + len(own) - len(own.lstrip()), end))
+        out += [Sentence(name, start + a, start + b) for name, a, b in known_lines(own)] or [Sentence(None, start + len(own) - len(own.lstrip()), end)]
         done = max(end, at.end())
         at = TRIGGER.search(text, done)
     return out
@@ -202,6 +265,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     (license, and its character range).
 
     Sentences end at . ! ? ; before white space, or at an empty line; line breaks in them are spaces.
+    Known lines of a sentence count as sentences of their own; an SPDX expression ends with its line.
     Null and empty texts have none; repeated rows each get a row; an empty table gives none; other
     columns are ignored.
     """

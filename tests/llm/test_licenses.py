@@ -127,3 +127,25 @@ def test_licence_line_after_text_without_a_stop(n, lead):
     before = (lead * (n // len(lead) + 1)).rstrip()
     assert scan(before + "\nReleased under the MIT License.")[0] == "MIT"
     assert scan(before + "\nLicensed under the Apache License,\nVersion 2.0")[0] == "Apache-2.0"
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Licensed under the MIT License\nThe next paragraph goes on here.", "MIT"),
+    ("A heading\n# Licensed under the Apache License,\n# Version 2.0\n# and some more words\n", "Apache-2.0"),
+    ("# SPDX-License-Identifier: MIT\n# Copyright 2020 Foo.", "mit"),
+    ("// SPDX-License-Identifier: Apache-2.0 OR MIT\n\nint x;", "apache-2.0 or mit"),
+    ("SPDX-License-Identifier: MIT\nReleased under the ISC License\nmore", "ISC,mit"),
+    ("Copyright (c) 2020 Foo\n" + MIT, "MIT"),
+    ("Heading\n" + GPL.replace("# ", "").replace("#\n", "").replace(" ", "\n") + "\nmore words", "GPL-3.0-or-later"),
+    ("Licensed under the MIT License\n" + "word\n" * 50_000, "MIT"),
+    ("word\n" * 30 + "copyright 2020 by Foo,\nall rights reserved\nmore", "All-Rights-Reserved"),
+    ("word licensed under the MIT License word\nmore", ""),
+])
+def test_licence_lines_within_a_sentence(text, want):
+    assert scan(text)[0] == want
+
+
+def test_places_of_licence_lines():
+    text = "A heading\n * Licensed under the MIT License\nThe next paragraph."
+    match, = lc.match_rules(lc.sentences(text))[0]
+    assert text[match.start : match.end] == "* Licensed under the MIT License"

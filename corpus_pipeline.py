@@ -22,7 +22,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each near-duplicate component."""
+    """One document, that of the smallest id, of each near-duplicate component; links are at similarity 0.85 or
+    more, as in op7's contract, so pairs at 0.80 to 0.85 are both kept unless other links join them."""
     return near_dedup.drop_near_duplicates(docs)
 
 

@@ -214,6 +214,14 @@ def umi_matrix_pivot(spark, sf):
     return cl.count_matrix(_cells(spark, sf).filter(_FEW))
 
 
+def umi_matrix_all_cells(spark, sf):
+    """The matrix over all filtered cells; without SQL, since its columns are the cells of the input."""
+    return cl.count_matrix(materialize(_filtered(spark, sf)))
+
+
+QUERIES["umi_matrix_all_cells"] = umi_matrix_all_cells
+
+
 @_query(o.CELLS, "SELECT cell_id, row_number() OVER (PARTITION BY cell_id ORDER BY count DESC, ord DESC) AS rank, clone_id, count FROM filtered QUALIFY rank <= 6")
 def top6_per_cell(spark, sf):
     return cl.top_clone_ids(_filtered(spark, sf))

@@ -9,6 +9,7 @@ from clonalis.operators import clones as cn
 from clonalis.operators import graph as gr
 from clonalis.operators import quality as qc
 from clonalis.operators.components import connected_components
+from clonalis.plans import catalogue
 
 EDGES = [("A", "B"), ("B", "C"), ("A", "D"), ("B", "D"), ("B", "E"), ("F", "G")]
 
@@ -139,3 +140,13 @@ def test_quality_tables(spark):
     cells = cell_frame(spark, {"a": {"x": 1, "y": 1}, "b": {"x": 1}, "c": {"z": 1}})
     assert {(r.cell_a, r.cell_b): r.jaccard for r in qc.jaccard_pairs(cells).collect()} == {("a", "b"): 0.5}
     assert cl.top_clone_ids(cells, 1).filter(F.col("cell_id") == "a").first().clone_id == "y"
+
+
+def test_matrix_query_holds_all_filtered_cells(spark):
+    sf = "/root/testdata/sf0.001"
+    found = catalogue.QUERIES["umi_matrix_all_cells"](spark, sf)
+    want = {(r.clone_id, r.cell_id): r["count"] for r in catalogue.QUERIES["umi_matrix_long"](spark, sf).collect()}
+    cells = sorted({c for _, c in want})
+    assert len(cells) > 3 and found.columns == ["clone_id", *cells]
+    rows = {r[0]: list(r)[1:] for r in found.collect()}
+    assert rows == {i: [want.get((i, c), 0) for c in cells] for i in {i for i, _ in want}}

@@ -20,7 +20,14 @@ BLOCKS = frozenset(
 ) | HEADINGS
 SPACED = frozenset("blockquote dl figure fieldset menu ol p pre table ul hr xmp plaintext listing article".split()) | HEADINGS
 CLOSES_P = BLOCKS - {"body", "html", "caption", "legend", "option", "optgroup"}
-NEVER_SHOWN = frozenset("script style template noscript head title datalist iframe noembed noframes audio video canvas object svg math rp source track param meta link base area".split())
+NEVER_SHOWN = frozenset("script style template noscript head title datalist iframe noembed noframes audio video canvas object rp source track param meta link base area".split())
+#: Elements of drawings and formulas that are not shown, and those in which HTML goes on.
+NOT_DRAWN = frozenset("desc defs metadata symbol clippath mask pattern marker annotation annotation-xml".split())
+HTML_AGAIN = frozenset("foreignobject desc title mtext mi mo mn ms annotation-xml".split())
+#: Tags that end an unclosed drawing or formula.
+ENDS_DRAWING = HEADINGS | frozenset(
+    "b big blockquote body br center code dd div dl dt em embed hr i img li listing menu nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 #: What a start tag ends, and the open elements that its search doesn't pass.
 ENDS = {
     "li": (frozenset({"li"}), frozenset("ul ol menu dir td th caption table".split())),
@@ -39,17 +46,21 @@ DEPTH = 200
 #: A cell's line that is longer doesn't widen its column.
 COLUMN = 120
 _ATTRIBUTE = re.compile(r"""\s*/?\s*([^\s=>/][^\s=>/]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"([a-z][\w-]*)?([.#][\w-]+)?", re.I)
+_CSS = re.compile(r""""(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|\\.|[{};]""", re.S)
+_DECLARATION = re.compile(r"\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*", re.I)
+_COMPOUND = re.compile(r"(\*|[a-z][\w-]*)?((?:[.#][\w-]+|\[[^\]]*\])*)", re.I)
+_MARK = re.compile(r"""([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[\w-]+)\s*)?\]""")
+#: Media queries that hold on every screen, and those that hold on none.
+EVERY_SCREEN = frozenset({"", "all", "screen", "only all", "only screen", "not print", "not speech"})
+_NO_SCREEN = re.compile(r"(?:only )?(?:print|speech)\b|not (?:all|screen)$")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "shown", "tag")
 
     def __init__(self, tag: str, attributes: dict[str, str] | None = None):
-        self.tag, self.attributes, self.children = tag, attributes or {}, []
+        self.tag, self.attributes, self.children, self.shown = tag, attributes or {}, [], True
 
 
 class TreeBuilder:
@@ -59,7 +70,8 @@ class TreeBuilder:
         self.root = Node("html")
         self.open = [self.root]
         self.title: str | None = None
-        self.styles: list[str] = []
+        self.styles: list[tuple[str, str]] = []  # media and sheet
+        self.drawn = False  # a drawing or formula has begun somewhere
 
     # tokens
 
@@ -94,19 +106,29 @@ class TreeBuilder:
             self.text("<")
             return lt + 1
         name = re.compile(r"[^\s/>]*").match(text, lt + 1)
-        tag, at, attributes = name[0].lower(), name.end(), {}
+        tag, at, attributes, closed = name[0].lower(), name.end(), {}, False
         while at < len(text) and text[at] != ">":
             found = _ATTRIBUTE.match(text, at)
             if not found:
+                closed = text[at] == "/"
                 at += 1
                 continue
+            closed = False
             value = found[2] or ""
             if value[:1] in "\"'" and value[-1:] == value[:1] and len(value) > 1:
                 value = value[1:-1]
             attributes.setdefault(found[1].lower(), html.unescape(value))
             at = found.end()
         at += 1
+        self.drawn = self.drawn or tag in ("svg", "math")
+        if self.drawn and tag in ENDS_DRAWING:
+            self.leave_drawing()
+        closed = closed and self.drawn and (tag in ("svg", "math") or self.drawing() > 0)
         self.start(tag, attributes)
+        if closed:
+            if self.open[-1].tag == tag and len(self.open) > 1:
+                self.open.pop()
+            return at
         if tag in RAW or tag in ("title", "textarea"):
             close = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(text, at)
             end = close.start() if close else len(text)
@@ -123,7 +145,8 @@ class TreeBuilder:
         if tag == "title":
             self.title = _SPACES.sub(" ", html.unescape(text)).strip() if self.title is None else self.title
         elif tag == "style":
-            self.styles.append(text)
+            own = self.open[-1].attributes if self.open[-1].tag == "style" else {}
+            self.styles.append((own.get("media", ""), text))
         if tag == "textarea":
             self.open[-1].children.append(html.unescape(text).removeprefix("\n"))
         elif tag in ("xmp", "plaintext"):
@@ -141,6 +164,19 @@ class TreeBuilder:
         else:
             self.open[-1].children.append(text)
 
+    def drawing(self) -> int:
+        """Place of the innermost open drawing or formula, 0 if there is none or HTML goes on in it."""
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k].tag in HTML_AGAIN:
+                return 0
+            if self.open[k].tag in ("svg", "math"):
+                return k
+        return 0
+
+    def leave_drawing(self) -> None:
+        while k := self.drawing():
+            del self.open[k:]
+
     def leave_head(self) -> None:
         if self.open[-1].tag == "head":
             self.open.pop()
@@ -220,29 +256,160 @@ class TreeBuilder:
             self.close(frozenset({tag}), frozenset("td th caption table".split()) if tag != "head" else frozenset())
 
 
+def _on_screens(media: str) -> bool | None:
+    """Whether a media query list holds on every screen (True), on none (False), or on some."""
+    queries = [_SPACES.sub(" ", q).strip().lower() for q in media.split(",")]
+    if any(q in EVERY_SCREEN for q in queries):
+        return True
+    return False if all(_NO_SCREEN.match(q) for q in queries) else None
+
+
+def _rules(media: str, sheet: str) -> Iterator[tuple[str, list[str], bool]]:
+    """(selectors, declarations, whether they hold on every screen) of a sheet's rules that hold on some screen."""
+    sheet = re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S).replace("<!--", "").replace("-->", "")
+    holds = [_on_screens(media)]
+    rule: list[list[str] | None] = [None]  # declarations of the open rules; None for the bodies of at-rules
+    names, start = [""], 0
+    for token in [*_CSS.finditer(sheet), *(_CSS.finditer("}" * sheet.count("{")))]:
+        if token[0] not in "{};":
+            continue
+        ends = len(sheet) if token.string is not sheet else token.start()
+        text = sheet[start:ends].strip()
+        start = len(sheet) if token.string is not sheet else token.end()
+        if token[0] == "{":
+            if rule[-1] is not None:  # nested in a rule
+                own = False
+            elif text.startswith("@"):
+                kind, _, rest = re.sub(r"^@([\w-]*)", r"\1 ", text).partition(" ")
+                own = {"media": _on_screens(rest), "layer": True, "supports": None, "container": None}.get(kind.lower(), False)
+            else:
+                own = True
+            holds.append(False if own is False or holds[-1] is False else None if own is None or holds[-1] is None else True)
+            rule.append(None if text.startswith("@") and rule[-1] is None else [])
+            names.append(text)
+            continue
+        if rule[-1] is not None:
+            rule[-1].append(text)
+        if token[0] == "}" and len(names) > 1:
+            declarations, name, applies = rule.pop(), names.pop(), holds.pop()
+            if declarations is not None and applies is not False:
+                yield name, declarations, applies is True
+
+
+def _declared(declarations: list[str]) -> Iterator[tuple[str, str, bool]]:
+    for declaration in declarations:
+        if found := _DECLARATION.fullmatch(declaration):
+            yield found[1].lower(), found[2].lower(), bool(found[3])
+
+
+def _selector(selector: str) -> tuple[tuple, list] | None:
+    """(specificity, compounds from the last one on, each with "" or > for what joins it to the one before it), if it
+    has only tags, classes, ids, attributes, descendants and children."""
+    chain, joined, ids, marks, tags = [], "", 0, 0, 0
+    for part in re.sub(r"\s*>\s*", " > ", selector).split():
+        if part == ">":
+            if joined or not chain:
+                return None
+            joined = ">"
+            continue
+        found = _COMPOUND.fullmatch(part)
+        wanted = _MARK.findall(found[2]) if found else []
+        if not found or not found[0] or len(wanted) != len(re.findall(r"[.#][\w-]+(?![^\[]*\])|\[", found[2])):
+            return None
+        tag = (found[1] or "*").lower()
+        ids, marks, tags = ids + sum(w[0] == "#" for w in wanted), marks + sum(w[0] != "#" for w in wanted), tags + (tag != "*")
+        chain.append((joined, tag, [(kind, name or attribute.lower(), value.strip("\"'") if value else None) for kind, name, attribute, value in wanted]))
+        joined = ""
+    return None if joined or not chain else ((ids, marks, tags), chain[::-1])
+
+
+def _is(node: Node, tag: str, wanted: list) -> bool:
+    if tag != "*" and tag != node.tag and not (tag == "body" and node.tag == "html"):
+        return False
+    for kind, name, value in wanted:
+        if kind == "." and name not in node.attributes.get("class", "").split():
+            return False
+        if kind == "#" and node.attributes.get("id") != name:
+            return False
+        if not kind and (name not in node.attributes or value is not None and node.attributes[name] != value):
+            return False
+    return True
+
+
+def _fits(chain: list, node: Node, above: list[Node]) -> bool:
+    """Whether a node with these ancestors fits the compounds of a chain."""
+    joined, tag, wanted = chain[0]
+    if not _is(node, tag, wanted):
+        return False
+    places = [len(above)]  # where the last compound may stand, the deepest first
+    for further, tag, wanted in chain[1:]:
+        tried = [i - 1 for i in places if i] if joined else range(places[0] - 1, -1, -1)
+        places = [i for i in tried if _is(above[i], tag, wanted)]
+        if not places:
+            return False
+        joined = further
+    return True
+
+
 class Visibility:
-    """What is shown, by element, attributes and the simple selectors of style elements."""
-
-    def __init__(self, styles: list[str]):
-        self.hidden: set[tuple[str, str]] = set()
-        for sheet in styles:
-            for selectors, body in _RULE.findall(re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)):
-                if _HIDING.search(body):
-                    for selector in selectors.split(","):
-                        found = _SIMPLE.fullmatch(selector.strip())
-                        if found and found[0]:
-                            self.hidden.add(((found[1] or "").lower(), found[2] or ""))
+    """What is shown on some screen, by element, attributes and the style elements' rules for display and visibility,
+    by importance, specificity and order. Rules under a condition (a width, @supports) never hide but may show; those
+    for print, and selectors with pseudo-classes or siblings, don't count."""
+
+    def __init__(self, styles: list[tuple[str, str]]):
+        self.rules: dict[tuple[str, str], list] = {}  # by a mark or the tag of a selector's last compound
+        order = 0
+        for media, sheet in styles:
+            for selectors, declarations, always in _rules(media, sheet):
+                kept = [d for d in _declared(declarations) if always or d[1] not in ("none", "hidden", "collapse")]
+                for selector in re.split(r",(?![^(\[]*[)\]])", selectors) if kept else []:
+                    if parsed := _selector(selector):
+                        order += 1
+                        _, tag, wanted = parsed[1][0]
+                        key = next(((kind, name) for kind, name, _ in wanted if kind), ("", tag))
+                        self.rules.setdefault(key, []).append((*parsed, order, kept))
+
+    def values(self, node: Node, above: list[Node]) -> dict[str, str]:
+        best: dict[str, tuple] = {}
+        a = node.attributes
+        if self.rules:
+            keys = [("", "*"), ("", node.tag), *((".", c) for c in a.get("class", "").split()), *([("#", a["id"])] if "id" in a else [])]
+            for key in dict.fromkeys(keys):
+                for specificity, chain, order, declared in self.rules.get(key, ()):
+                    if _fits(chain, node, above):
+                        for k, (name, value, important) in enumerate(declared):
+                            best[name] = max(best.get(name, ((),)), ((important, 0, specificity, order, k), value))
+        if "style" in a:
+            for k, (name, value, important) in enumerate(_declared(a["style"].split(";"))):
+                best[name] = max(best.get(name, ((),)), ((important, 1, (), 0, k), value))
+        return {name: value for name, (_, value) in best.items()}
+
+    def apply(self, node: Node, above: list[Node], hidden: bool = False, drawn: bool = False) -> None:
+        """Sets shown of all elements below a node. Elements of a hidden one may be visible again."""
+        above.append(node)
+        for child in node.children:
+            if isinstance(child, str):
+                continue
+            tag, a = child.tag, child.attributes
+            if tag in NEVER_SHOWN or (drawn and tag in NOT_DRAWN) or (tag == "input" and a.get("type", "").lower() == "hidden"):
+                child.shown = False
+                continue
+            own = self.values(child, above) if self.rules or "style" in a else {}
+            if own.get("display", "none" if "hidden" in a or (tag == "dialog" and "open" not in a) else "") == "none":
+                child.shown = False
+                continue
+            out_of_sight = own["visibility"] in ("hidden", "collapse") if own.get("visibility", "inherit") != "inherit" else hidden
+            inside = tag in ("svg", "math") or (drawn and tag != "foreignobject")
+            self.apply(child, above, out_of_sight, inside)
+            if out_of_sight:
+                child.children = [c for c in child.children if isinstance(c, Node) and c.shown]
+                child.shown = bool(child.children)
+            elif inside and tag in ("text", "mtd"):
+                child.children = [" ", *child.children, " "]
+        above.pop()
 
     def shows(self, node: Node) -> bool:
-        a = node.attributes
-        if node.tag in NEVER_SHOWN or "hidden" in a or (node.tag == "dialog" and "open" not in a) or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
-            return False
-        if "style" in a and _HIDING.search(a["style"]):
-            return False
-        if self.hidden:
-            marks = ["", *("." + c for c in a.get("class", "").split()), *(["#" + a["id"]] if "id" in a else [])]
-            return not any((tag, m) in self.hidden for tag in ("", node.tag) for m in marks if tag or m)
-        return True
+        return node.shown
 
 
 class Flow:
@@ -398,12 +565,39 @@ class Renderer:
         flow.space()
 
     def rows(self, node: Node) -> Iterator[Node]:
+        """Rows of a table; what the cut at DEPTH left beside them is a row of its own."""
+        beside = Node("tr")
         for child in node.children:
-            if isinstance(child, Node) and self.visibility.shows(child):
-                if child.tag == "tr":
-                    yield child
-                elif child.tag in SECTIONS:
-                    yield from self.rows(child)
+            if isinstance(child, str) or child.tag in ("caption", "col", "colgroup") or not self.visibility.shows(child):
+                continue
+            if child.tag != "tr" and child.tag not in SECTIONS:
+                beside.children.append(child)
+                continue
+            if beside.children:
+                yield beside
+                beside = Node("tr")
+            if child.tag == "tr":
+                yield child
+            else:
+                yield from self.rows(child)
+        if beside.children:
+            yield beside
+
+    def cells(self, row: Node) -> Iterator[Node]:
+        """Cells of a row, each with what the cut at DEPTH left after it."""
+        cell, joined = None, False
+        for child in row.children:
+            if isinstance(child, Node) and child.tag in ("td", "th"):
+                if cell:
+                    yield cell
+                cell, joined = child, False
+            elif cell is None or self.visibility.shows(cell):
+                if not joined:
+                    own, cell, joined = cell, Node("td", cell.attributes if cell else {}), True
+                    cell.children = [*own.children] if own else []
+                cell.children.append(child)
+        if cell:
+            yield cell
 
     def table(self, node: Node) -> list[str]:
         """Cells of a row stand side by side, those of a column below each other."""
@@ -416,8 +610,8 @@ class Renderer:
         for row in self.rows(node):
             cells, column = [], 0
             fresh: dict[int, int] = {}
-            for cell in row.children:
-                if not (isinstance(cell, Node) and cell.tag in ("td", "th") and self.visibility.shows(cell)):
+            for cell in self.cells(row):
+                if not self.visibility.shows(cell):
                     continue
                 while taken.get(column, 0):
                     column += 1
@@ -465,7 +659,9 @@ def render(page: str) -> tuple[str, str | None]:
     """(visible text, title) of a page."""
     builder = TreeBuilder()
     root = builder.feed(page.replace("\0", ""))
-    text = "\n".join(Renderer(Visibility(builder.styles)).lines(root))
+    visibility = Visibility(builder.styles)
+    visibility.apply(root, [])
+    text = "\n".join(Renderer(visibility).lines(root))
     return text.replace(" ", " "), builder.title
 
 

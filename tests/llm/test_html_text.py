@@ -85,3 +85,35 @@ def test_pages_against_plain_stripping(spark):
         import html
 
         assert r.text.replace("* ", " ").split() == html.unescape(plain).replace("* ", " ").split()
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<style>@media print{.nav{display:none}}</style><p class=nav>a", "a"),
+    ("<style>@media (max-width:600px){.side{display:none}} .x{display:none}</style><p class=side>a<p class=x>b", "a"),
+    ("<style media=print>p{display:none}</style><p>a", "a"),
+    ("<style>@media screen{.x{display:none}} @layer a{.y{display:none}}</style><i class=x>a</i><i class=y>b</i>c", "c"),
+    ("<style>@import 'a;{b'; @font-face{x:y} .x{display:none}</style><i class=x>a</i>b", "b"),
+    ("<style>.x{display:none} .x{display:block}</style><p class=x>a", "a"),
+    ("<style>.x{display:block} .x{display:none}</style><p class=x>a", ""),
+    ("<style>p.x{display:block} .x{display:none}</style><p class=x>a", "a"),
+    ("<style>.x{display:none} .page > .x{display:block}</style><div class=page><p class=x>a</div><p class=x>b", "a"),
+    ("<style>.x{display:none} @media (min-width:600px){.x{display:block}}</style><p class=x>a", "a"),
+    ("<style>.x{display:none} @media print{.x{display:block}}</style><p class=x>a", ""),
+    ("<style>.x{display:none !important} .x{display:block}</style><p class=x style='display:block'>a", ""),
+    ("<style>.x{display:none}</style><p class=x style='display:block'>a", "a"),
+    ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b></div>c", "b\nc"),
+    ("<style>.x{display:none", ""),
+    ("<svg><title>t</title><desc>d</desc><defs><text>e</text></defs><path d='M1'/><text>a</text><text>b</text></svg>c", "a b c"),
+    ("<svg><defs/><text>a</text></svg><p>b", "a\n\nb"),
+    ("<svg><defs><path><p>b", "b"),
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+    ("<desc>a</desc>", "a"),
+])
+def test_what_is_shown(page, want):
+    assert text(page) == want
+
+
+@pytest.mark.parametrize("above", range(180, 205))
+def test_cells_at_the_depth_limit(above):
+    page = "<div>" * above + "<table><tr><td>w1<b>w2</b><i>w3</i><td><p>w4</p>w5</table>"
+    assert sorted(re.findall(r"w\d", text(page))) == ["w1", "w2", "w3", "w4", "w5"]

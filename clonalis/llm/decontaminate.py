@@ -180,11 +180,12 @@ def search(texts: list, blocks, window: int) -> Found:
     change = np.zeros(len(full) + 1, dtype=np.int32)
     items: dict[int, set[str]] = {}
     longest: dict[int, tuple[int, int]] = {}
+    runs: dict[tuple[int, int], tuple[int, int, int]] = {}  # by block and length: the part's last window and its run
     most = (1 << _BITS) - 1 - window
     for cut in range(0, max(1, len(full)), most):  # parts that overlap by a window less a word
         part = keys[cut : cut + most + window - 1]
         sa = suffix_array(part, window)
-        for tests in blocks():
+        for block, tests in enumerate(blocks()):
             standing = np.full(len(part), -1, dtype=np.int64)
             for numbers, hashes in tests.by_length:
                 low, high = intervals(part, sa, _keys(hashes))
@@ -200,7 +201,9 @@ def search(texts: list, blocks, window: int) -> Found:
                 np.add.at(change, at + cut + hashes.shape[1], -1)
                 for key in np.unique(owner[at + cut] * np.int64(1 << 32) + numbers[which]).tolist():
                     items.setdefault(key >> 32, set()).update(tests.items[key & 0xFFFFFFFF])
-                _longest(longest, at, cut, hashes.shape[1], owner, first, standing, tests)
+                at = np.sort(at[at < most])  # the others are found again in the next part
+                key = block, hashes.shape[1]
+                runs[key] = _longest(longest, runs.get(key), at + cut, standing[at], hashes.shape[1], owner, first, tests)
     covered = np.cumsum(change[:-1]) > 0
     n_hit = np.bincount(owner[covered], minlength=n_texts)
     spans: dict[int, list[tuple[int, int]]] = {}
@@ -211,19 +214,23 @@ def search(texts: list, blocks, window: int) -> Found:
     return Found(np.diff(words.bounds), n_hit, items, spans, longest)
 
 
-def _longest(longest, at, cut, size, owner, first, standing, tests) -> None:
-    """Joins windows that follow each other in a document and in an item."""
+def _longest(longest, run, at, numbers, size, owner, first, tests) -> tuple[int, int, int] | None:
+    """Joins windows that follow each other in a document and in an item. run: the last window of the part before,
+    its number and where its run began; returns the same of this part."""
     if not len(at):
-        return
-    at = np.sort(at)
-    pair = standing[at[:-1]] << 32 | standing[at[1:]]
-    joined = (np.diff(at) == 1) & np.isin(pair, tests.follows)
+        return None
+    if run:
+        at, numbers = np.concatenate([[run[0]], at]), np.concatenate([[run[1]], numbers])
+    joined = (np.diff(at) == 1) & np.isin(numbers[:-1] << 32 | numbers[1:], tests.follows)
     starts = np.flatnonzero(np.concatenate([[True], ~joined]))
-    lengths = np.diff(np.concatenate([starts, [len(at)]])) + size - 1
-    for a, k in zip((at[starts] + cut).tolist(), lengths.tolist(), strict=True):
+    begins, ends = at[starts], at[np.append(starts[1:], len(at)) - 1] + size
+    if run:
+        begins[0] = run[2]
+    for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
         t = int(owner[a])
-        if k > longest.get(t, (0, 0))[0]:
-            longest[t] = (k, a - int(first[t]))
+        if b - a > longest.get(t, (0, 0))[0]:
+            longest[t] = (b - a, a - int(first[t]))
+    return int(at[-1]), int(numbers[-1]), int(begins[-1])
 
 
 def _found_in(batch: pa.RecordBatch, text_col: str, paths: list[str], window: int) -> Iterator[tuple[int, Found]]:

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from clonalis.llm import decontaminate as dc
@@ -98,3 +99,15 @@ def test_parts_of_a_long_document(spark, monkeypatch):
     blocks = dc.make_tests(["1"], [items[0][1].encode()], 10)
     found = dc.search([docs[0][1].encode()], lambda: iter([blocks]), 10)
     assert (int(found.n_words[0]), int(found.n_hit[0])) == brute(docs, items)[0][1:3]
+
+
+def test_longest_match_over_parts(monkeypatch):
+    words = [f"w{i}" for i in range(90)]
+    items = dc.make_tests(["a", "b"], [" ".join(words).encode(), b"x y z"], 10)
+    texts = pa.array([" ".join(["o"] * k + words[:m] + ["x", "y", "z"] * 9) for k, m in ((0, 90), (7, 60), (21, 45), (3, 10), (50, 9))])
+    whole = dc.search(next(dc.utf8_chunks(texts))[1], lambda: iter([items]), 10)
+    assert [whole.longest[t] for t in range(5)] == [(90, 0), (60, 7), (45, 21), (10, 3), (3, 59)]
+    for bits in (5, 6, 7):
+        monkeypatch.setattr(dc, "_BITS", bits)
+        parts = dc.search(next(dc.utf8_chunks(texts))[1], lambda: iter([items]), 10)
+        assert parts.longest == whole.longest and parts.items == whole.items and parts.spans == whole.spans

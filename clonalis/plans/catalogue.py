@@ -372,3 +372,12 @@ def hamming_histogram(spark, sf):
 def text_kmers(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     return docs.select("doc_id", F.explode(sq.kmers(F.col("text"), 7)).alias("kmer")).groupBy("doc_id", "kmer").agg(F.count("*").alias("n")).filter("n > 2")
+
+
+def text_kmers_all(spark, sf):
+    """All k-mers with their counts; text_kmers and its SQL have those that occur more than twice."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return docs.select("doc_id", F.explode(sq.kmers(F.col("text"), 7)).alias("kmer")).groupBy("doc_id", "kmer").agg(F.count("*").alias("n"))
+
+
+QUERIES["text_kmers_all"] = text_kmers_all

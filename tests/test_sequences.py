@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from clonalis.functions import sequences as sq
 from clonalis.operators import molecules as ml
+from clonalis.plans import catalogue
 
 
 def plain_similar(s, t, overlap, most):
@@ -120,3 +121,14 @@ def test_exclusion(spark):
     assert left(["ACGT"]) == ["ACGA", "TTTT"]
     assert left(["T---"]) == sorted(["ACGT", "ACGA", "AC--", "A0GT"])
     assert left([]) == sorted(m[2] for m in mols)
+
+
+def test_all_kmers_against_brute_force(spark, tmp_path):
+    docs = [(1, "abcabcabcabc"), (2, "short"), (3, ""), (4, None), (5, "é abcdefg abcdefg"), (6, "1234567")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, text in docs:
+        for k in range(len(text or "") - 6):
+            want[i, text[k : k + 7]] = want.get((i, text[k : k + 7]), 0) + 1
+    got = catalogue.QUERIES["text_kmers_all"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.kmer): r.n for r in got} == want and len(got) == len(want) and 1 in want.values()

@@ -21,8 +21,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .runtime import Scratch, filesystem, lean, new_path, remove, write_atomically
 
@@ -30,7 +32,8 @@ MAGIC = b"SVB1"
 _HEAD = "<IQQQ"
 #: Kept pieces at which the younger half of a worker's cache becomes the older: about 250 bytes each.
 CACHE_ENTRIES = 400_000
-BATCH_CHARS = 1 << 20
+#: Text that a worker encodes at once.
+LOT_BYTES = 4 << 20
 #: Byte values that the two bits stand for: 1, 2, 3 or 4 bytes.
 LENGTHS = np.array([[(c >> shift & 3) + 1 for shift in (0, 2, 4, 6)] for c in range(256)], dtype=np.int64)
 
@@ -88,20 +91,22 @@ def read_blocks(path: str, vocabulary: np.ndarray) -> Iterator[Block]:
             yield Block([int(d) if h else None for h, d in zip(has, names, strict=True)], sizes, vocabulary[ranks])
 
 
-_ALL_BEFORE_SPACE = tuple(c + " " for c in map(chr, range(0x3001)) if c.isspace())
-_BEFORE_SPACE = tuple(w for w in _ALL_BEFORE_SPACE if w.isascii())
-
-
-_PUNCTUATION = ".,;:!?)]}\"#$%&*"
+#: Texts in which white space other than line ends stands before a space, or is not ASCII, are not cut.
+_NOT_CUT = r"[\x09-\x0D\x1C-\x20] |[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_IS_SPACE, _IS_LETTER, _IS_MARK = (np.isin(np.arange(256), list(members)) for members in (b" \t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"))
+#: Longer pieces are not kept.
+_LONGEST_KEPT = 64
 
 
 class _Encoder:
     """ids of texts by the tokenizers library, each text as if encoded whole.
 
     A byte-level BPE whose pre-tokenizer is the usual pattern never joins across a space that follows
-    a character other than white space. Texts whose every space does so are encoded by pieces between
-    spaces, each distinct piece once while it is kept; the others, and those in which an added token's
-    string occurs, are encoded whole.
+    a character other than white space, across a line end between two such characters, or from a
+    letter to punctuation other than an apostrophe. Texts are cut there, at places that numpy finds in
+    their bytes; Arrow finds the distinct pieces of a lot, each is encoded once while it is kept, and
+    numpy gathers the ids. Texts with other white space, and those in which an added token's string
+    occurs, are encoded whole.
     """
 
     def __init__(self, path: str, most: int = CACHE_ENTRIES):
@@ -119,69 +124,111 @@ class _Encoder:
         self.opens[[i for name, i in names.items() if name.startswith("\u0120")]] = True
         self.size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), 1)
         self.dtype = np.dtype("<u2" if self.size < 1 << 16 else "<u4")
+        self.line_end = self._encode(["\n"])[0]
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """ids of " " + piece for each: many at once, cut before each id that starts with a space."""
-        apart = [p for p in pieces if not p or p[-1].isspace()]
-        joined = [p for p in pieces if p and not p[-1].isspace()]
-        out = dict(zip(apart, self._encode([" " + p for p in apart]), strict=True)) if apart else {}
-        if joined:
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(joined)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) == len(joined) and cuts[0] == 0:
-                data, size = ids.tobytes(), self.dtype.itemsize
-                ends = [*(cuts[1:] * size).tolist(), len(data)]
-                out.update(zip(joined, [data[a:b] for a, b in zip((cuts * size).tolist(), ends, strict=True)], strict=True))
+    def _encode_joined(self, words: list[str], mark: str) -> list[bytes]:
+        """ids of words without white space, each after mark, a space or a line end: all in one call, cut where the marks are."""
+        joined = "".join([mark + w for w in words])
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        data, size = ids.tobytes(), self.dtype.itemsize
+        is_line = mark == "\n"
+        if is_line and len(self.line_end) != size:
+            return self._encode(words)
+        cuts = np.flatnonzero(ids == np.frombuffer(self.line_end, self.dtype)[0] if is_line else self.opens[ids]) * size
+        if len(cuts) != len(words) or cuts[0]:
+            return self._encode(words if is_line else [mark + w for w in words])
+        skip = len(self.line_end) if is_line else 0
+        return [data[a + skip : b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(data)], strict=True)]
+
+    def _entries(self, pieces: list[str]) -> list[bytes]:
+        """ids of distinct pieces; new ones without other white space go to the library many in a call."""
+        if len(self.kept) > self.most:
+            self.kept, self.older = {}, self.kept
+        found = list(map(self.kept.get, pieces))
+        new = [i for i, f in enumerate(found) if f is None]
+        again = [(i, f) for i in new if (f := self.older.get(pieces[i])) is not None]
+        for i, f in again:
+            found[i] = self.kept[pieces[i]] = f
+        kinds: dict[str, list[int]] = {" ": [], "\n": [], "": []}
+        for i in (i for i in new if found[i] is None) if again else new:
+            words = pieces[i].split()
+            if len(words) != 1 or len(pieces[i]) > _LONGEST_KEPT:
+                kinds[""].append(i)
+            elif words[0] == pieces[i]:
+                kinds["\n"].append(i)
             else:
-                out.update(zip(joined, self._encode([" " + p for p in joined]), strict=True))
-        return [out[p] for p in pieces]
-
-    def _learn(self, need: set[str]) -> None:
-        """Keeps the ids of the pieces. A word that ends in a letter is apart from the punctuation after it."""
-        again = need & self.older.keys()
-        self.kept.update((p, self.older[p]) for p in again)
-        need -= again
-        ending = {}
-        for p in need:
-            word = p.rstrip(_PUNCTUATION)
-            if word and len(word) < len(p) and word[-1].isalpha():
-                ending[p] = word, p[len(word) :]
-        new = list((need - ending.keys()) | {w for w, _ in ending.values()} - self.kept.keys())
-        for i in range(0, len(new), 512):
-            self.kept.update(zip(new[i : i + 512], self._encode_pieces(new[i : i + 512]), strict=True))
-        if len(self.tails) > self.most:
-            self.tails.clear()
-        tails = list({t for _, t in ending.values()} - self.tails.keys())
-        if tails:
-            self.tails.update(zip(tails, self._encode(tails), strict=True))
-        self.kept.update((p, self.kept[w] + self.tails[t]) for p, (w, t) in ending.items())
-
-    def _by_piece(self, text: str) -> bool:
-        if not self.by_piece or any(a in text for a in self.added):
-            return False
-        return not any(w in text for w in (_BEFORE_SPACE if text.isascii() else _ALL_BEFORE_SPACE))
+                kinds[" " if " " + words[0] == pieces[i] else ""].append(i)
+        for mark, places in kinds.items():
+            for k in range(0, len(places), 512):
+                some = [pieces[i] for i in places[k : k + 512]]
+                ids = self._encode_joined([w.lstrip(" ") for w in some], mark) if mark else self._encode(some)
+                for i, piece, own in zip(places[k : k + 512], some, ids, strict=True):
+                    found[i] = own
+                    if len(piece) <= _LONGEST_KEPT:
+                        self.kept[piece] = own
+        return found
+
+    def _whole(self, texts: pa.Array) -> np.ndarray:
+        """Which texts are encoded whole."""
+        if not self.by_piece:
+            return np.ones(len(texts), dtype=bool)
+        out = pc.match_substring_regex(texts, _NOT_CUT)
+        for added in self.added:
+            out = pc.or_(out, pc.match_substring(texts, added))
+        return out.to_numpy(zero_copy_only=False)
+
+    def _cuts(self, data: np.ndarray, bounds: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Places at which pieces begin: the texts, and those inside texts that are not encoded whole."""
+        cut = data == 32
+        if len(data) > 2:
+            cut[1:] |= _IS_LETTER[data[:-1]] & _IS_MARK[data[1:]]
+            lines = np.flatnonzero(data[1:-1] == 10) + 1
+            starts = np.zeros(len(data), dtype=bool)
+            starts[bounds[:-1][bounds[:-1] < len(data)]] = True
+            lines = lines[~(_IS_SPACE[data[lines - 1]] | _IS_SPACE[data[lines + 1]] | starts[lines] | starts[lines + 1])]
+            cut[lines] = cut[lines + 1] = True
+        for i in np.flatnonzero(whole).tolist():
+            cut[bounds[i] : bounds[i + 1]] = False
+        cut[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+        return np.flatnonzero(cut)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not self._by_piece(t)]
-        for i in range(0, len(whole), 64):
-            for k, ids in zip(whole[i : i + 64], self._encode([texts[k] for k in whole[i : i + 64]]), strict=True):
-                out[k] = ids
-        pieces = {i: t.split(" ") for i, t in enumerate(texts) if out[i] is None}
-        if len(self.kept) > self.most:
-            self.kept, self.older = {}, self.kept
-        self._learn(set().union(*(p[1:] for p in pieces.values())) - self.kept.keys())
-        first = list({p[0] for p in pieces.values()})
-        heads = dict(zip(first, self._encode(first), strict=True)) if first else {}
-        for i, p in pieces.items():
-            out[i] = heads[p[0]] + b"".join(map(self.kept.__getitem__, p[1:]))
-        return out
+        ids, sizes = self.lot(pa.array(texts, pa.large_string()))
+        ends = np.cumsum(sizes)
+        return [ids[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+    def lot(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, their numbers a text), each text's followed by those in end."""
+        if not len(texts):
+            return np.empty(0, self.dtype), np.empty(0, np.int64)
+        if not pa.types.is_large_string(texts.type):
+            texts = texts.cast(pa.large_string())
+        texts = pc.fill_null(texts, "")
+        whole = self._whole(texts)
+        _, offsets, data = texts.buffers()
+        bounds = np.frombuffer(offsets, np.int64, len(texts) + 1, 8 * texts.offset)
+        cuts = self._cuts(np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.empty(0, np.uint8), bounds - bounds[0], whole)
+        places = pa.py_buffer(np.append(cuts + bounds[0], bounds[-1]))
+        pieces = pa.LargeStringArray.from_buffers(len(cuts), places, data if data is not None else pa.py_buffer(b"")).dictionary_encode()
+        entries = self._entries(pieces.dictionary.to_pylist())
+        code = pieces.indices.to_numpy().astype(np.int64)
+        bounds = np.searchsorted(cuts, bounds - bounds[0])
+        code = np.insert(code, bounds[1:], len(entries))
+        entries.append(end)
+        data = np.frombuffer(b"".join(entries), dtype=self.dtype)
+        length = np.fromiter(map(len, entries), dtype=np.int64, count=len(entries)) // self.dtype.itemsize
+        start = np.cumsum(length) - length
+        many = length[code]
+        before = np.cumsum(many) - many
+        total = int(many.sum())
+        ids = data[np.repeat(start[code] - before, many) + np.arange(total)]
+        ends = np.append(before, total)[bounds[1:] + np.arange(1, len(texts) + 1)]
+        return ids, np.diff(ends, prepend=0)
 
 
 @lru_cache(maxsize=1)
@@ -189,19 +236,15 @@ def _encoder(path: str, most: int = CACHE_ENTRIES) -> _Encoder:
     return _Encoder(path, most)
 
 
-def _some(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[list, list[str]]]:
-    """Rows in lots of about BATCH_CHARS."""
-    ids, texts, size = [], [], 0
-    names, column = batch.column("doc_id").to_pylist(), batch.column(text_col)
-    for i, d in enumerate(names):
-        ids.append(d)
-        texts.append(column[i].as_py() or "")
-        size += len(texts[-1])
-        if size >= BATCH_CHARS:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+def _lots(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
+    """Rows in lots of about LOT_BYTES of text, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
+    ends, first = np.cumsum(sizes, dtype=np.int64), 0
+    while first < len(ends):
+        base = ends[first] - sizes[first]
+        last = max(first + 1, int(np.searchsorted(ends, base + LOT_BYTES, "right")))
+        yield batch.slice(first, last - first)
+        first = last
 
 
 _FRAME = "<IQQQ"  # documents, ids, plain bytes, packed bytes
@@ -212,25 +255,26 @@ def _stage(root: str, path: str, end_id: int, most: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, encoder, codec = TaskContext.get().partitionId(), _encoder(path, most), pa.Codec("zstd")
-        dtype = encoder.dtype if end_id < 1 << (8 * encoder.dtype.itemsize) else np.dtype("<u4")
+        narrow = end_id < 1 << (8 * encoder.dtype.itemsize)
+        dtype = encoder.dtype if narrow else np.dtype("<u4")
         counts, docs = np.zeros(max(encoder.size, end_id + 1), dtype=np.int64), 0
-        tail = np.array([end_id], dtype=encoder.dtype if end_id < 1 << (8 * encoder.dtype.itemsize) else dtype).tobytes()
+        end = np.array([end_id], dtype=encoder.dtype).tobytes() if narrow else np.zeros(1, dtype=encoder.dtype).tobytes()
 
         def parts() -> Iterator[bytes]:
             nonlocal docs
             for batch in batches:
-                for names, texts in _some(batch, "text"):
-                    ids = encoder(texts)
-                    if dtype != encoder.dtype:
-                        ids = [np.frombuffer(i, encoder.dtype).astype(dtype).tobytes() for i in ids]
-                    sizes = np.array([len(i) // dtype.itemsize + 1 for i in ids], dtype="<u8")
-                    joined = tail.join([*ids, b""])
-                    counts[:] += np.bincount(np.frombuffer(joined, dtype=dtype), minlength=len(counts))
-                    docs += len(names)
-                    has = np.array([d is not None for d in names], dtype=np.uint8)
-                    plain = b"".join([has.tobytes(), np.array([d or 0 for d in names], dtype="<i8").tobytes(), sizes.tobytes(), joined])
+                for lot in _lots(batch, "text"):
+                    names = lot.column("doc_id")
+                    ids, sizes = encoder.lot(lot.column("text"), end)
+                    if not narrow:
+                        ids = ids.astype(dtype)
+                        ids[np.cumsum(sizes) - 1] = end_id
+                    counts[:] += np.bincount(ids, minlength=len(counts))
+                    docs += len(sizes)
+                    has = names.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+                    plain = b"".join([has.tobytes(), pc.fill_null(names, 0).to_numpy().astype("<i8").tobytes(), sizes.astype("<u8").tobytes(), ids.tobytes()])
                     packed = codec.compress(plain, asbytes=True)
-                    yield struct.pack(_FRAME, len(names), int(sizes.sum()), len(plain), len(packed))
+                    yield struct.pack(_FRAME, len(sizes), len(ids), len(plain), len(packed))
                     yield packed
 
         name = f"{root}/staged/{shard:08d}.ids"
@@ -303,7 +347,8 @@ def write_token_files(
     and are kept as null; rows that share an id stand in the order of their texts; null texts are empty;
     an empty table writes no file; other columns are ignored.
 
-    One range shuffle sorts the texts; a task tokenizes its range into a staging file and returns how
+    One range shuffle sorts the texts, by their first characters too, so that rows that share an id, or
+    have none, need not be in one task; a task tokenizes its range into a staging file and returns how
     often each id of the vocabulary occurs. About the square root of n tasks add these vectors up, the
     driver adds up theirs, and with the ids ranked each staging file becomes a token file. cache_entries
     bounds what a worker keeps of pieces it has encoded; it changes time and memory, not results.
@@ -312,7 +357,7 @@ def write_token_files(
     root = (root or new_path(spark, "tokens")).rstrip("/")
     scratch = Scratch(spark, "token-manifests")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).repartitionByRange(n, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     staged = scratch.save(ordered.mapInArrow(
         lean(_stage(root, tokenizer_path, end_id, cache_entries)), "shard bigint, path string, itemsize int, n_docs bigint, n_ids bigint, counts binary"
     ), "staged")

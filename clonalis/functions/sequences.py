@@ -68,11 +68,9 @@ def _positions(s: Column, t: Column) -> tuple[Column, Column]:
 def overlap_and_mismatches(s: Column, t: Column, ps: Column | None = None, pt: Column | None = None) -> tuple[Column, Column]:
     """Positions known in both, and those of them that differ. ps, pt: the packed forms, where already there."""
     ps, pt = packed(s) if ps is None else ps, packed(t) if pt is None else pt
-    both = ps["known"].bitwiseAND(pt["known"])
-    differ = ps["a"].bitwiseXOR(pt["a"]).bitwiseOR(ps["b"].bitwiseXOR(pt["b"])).bitwiseOR(ps["n"].bitwiseXOR(pt["n"]))
     fits = ps.isNotNull() & pt.isNotNull()
     overlap, mismatches = _positions(s, t)
-    return (F.when(fits, F.bit_count(both)).otherwise(overlap), F.when(fits, F.bit_count(differ.bitwiseAND(both))).otherwise(mismatches))
+    return (F.when(fits, F.bit_count(_both_known(ps, pt))).otherwise(overlap), F.when(fits, packed_mismatches(ps, pt)).otherwise(mismatches))
 
 
 def is_similar(s: Column, t: Column, min_overlap: int, max_hamming: int, ps: Column | None = None, pt: Column | None = None) -> Column:
@@ -82,6 +80,22 @@ def is_similar(s: Column, t: Column, min_overlap: int, max_hamming: int, ps: Col
     return F.when(F.length(s) != F.length(t), F.raise_error(F.lit("sequences of unequal lengths"))).otherwise(found)
 
 
+def is_similar_packed(s: Column, t: Column, min_overlap: int, max_hamming: int, ps: Column, pt: Column) -> Column:
+    """is_similar for IDs that both have a packed form: on bits alone, which stay within generated code."""
+    found = (F.bit_count(_both_known(ps, pt)) >= min_overlap) & (packed_mismatches(ps, pt) <= max_hamming)
+    return F.when(F.length(s) != F.length(t), F.raise_error(F.lit("sequences of unequal lengths"))).otherwise(found)
+
+
+def _both_known(ps: Column, pt: Column) -> Column:
+    return ps["known"].bitwiseAND(pt["known"])
+
+
+def packed_mismatches(ps: Column, pt: Column) -> Column:
+    """Positions known in both packed forms that differ."""
+    differ = ps["a"].bitwiseXOR(pt["a"]).bitwiseOR(ps["b"].bitwiseXOR(pt["b"])).bitwiseOR(ps["n"].bitwiseXOR(pt["n"]))
+    return F.bit_count(differ.bitwiseAND(_both_known(ps, pt)))
+
+
 def hamming(s: Column, t: Column) -> Column:
     """Plain Hamming distance of equally long texts."""
     pairs = F.arrays_zip(F.split(s, "").alias("s"), F.split(t, "").alias("t"))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..materialize import materialize
+from ..materialize import discard, materialize
 
-#: Up to this many edges the components come from one union-find; beyond it from rounds of joins.
-UNION_FIND_EDGES = 300_000
+#: Edges that a task contracts at a time.
+LOT = 200_000
 
 
-def _union_find(pairs: list[tuple]) -> list[tuple]:
+def _union_find(pairs: Iterator[tuple]) -> list[tuple]:
+    """(node, smallest node of its part) of the nodes that are not the smallest."""
     up: dict = {}
 
     def root(n):
@@ -26,41 +28,52 @@ def _union_find(pairs: list[tuple]) -> list[tuple]:
         a, b = root(a), root(b)
         if a != b:
             up[max(a, b)] = min(a, b)
-    return [(n, root(n)) for n in up]
+    return [(n, r) for n in list(up) if (r := root(n)) != n]
+
+
+def _contract(lot: int):
+    """Replaces each lot of a task's edges by stars with the same parts, at most an edge a node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def star(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+            pairs = [p for b in some for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            found = _union_find(pairs)
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], some[0].schema.field(k).type) for k in (0, 1)], names=["u", "v"])
+
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= lot:
+                yield star(held)
+                held, n = [], 0
+        if held:
+            yield star(held)
+
+    return run
 
 
 def connected_components(edges: DataFrame, limit: int | None = None) -> DataFrame:
     """(node, component) of the nodes of undirected edges (u, v); component is the smallest node.
 
-    The edges are counted first. A bounded number of them is sent to the driver for union-find, which
-    needs no rounds of jobs; more are worked on by hash-to-min with joins. Self-loops are ignored.
+    One way at every size: tasks first contract their own edges, limit (LOT) at a time, 0 for none, and
+    rounds of joins then link each node's neighbours to the least of them until all is a star. Where the
+    edges fit into a task, its contraction is the result and one round confirms it; no edge goes to the
+    driver. Self-loops are ignored.
     """
-    spark = edges.sparkSession
-    limit = UNION_FIND_EDGES if limit is None else limit
-    edges = edges.filter("u <> v").select("u", "v").persist(StorageLevel.MEMORY_AND_DISK)
+    limit = LOT if limit is None else limit
     kind = edges.schema["u"].dataType.simpleString()
-    schema = f"node {kind}, component {kind}"
-    if edges.limit(limit + 1).count() <= limit:
-        table = edges.toArrow()
-        edges.unpersist()
-        found = _union_find(list(zip(table["u"].to_pylist(), table["v"].to_pylist(), strict=True)))
-        arrow = pa.table({"node": pa.array([a for a, _ in found], table.schema.field("u").type), "component": pa.array([b for _, b in found], table.schema.field("u").type)})
-        return spark.createDataFrame(arrow, schema) if found else spark.createDataFrame([], schema)
-    out = _rounds(edges)
-    edges.unpersist()
-    return out
-
-
-def _rounds(edges: DataFrame) -> DataFrame:
-    """Each node is linked to its least neighbour, and neighbours to that one, until all is a star."""
-    now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = materialize(now.mapInArrow(_contract(limit), f"u {kind}, v {kind}") if limit else now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+        if not now.join(least, (F.col("v") == F.col("n")) & (F.col("m") < F.col("v")), "left_semi").unionByName(now.join(least, (F.col("u") == F.col("n")) & (F.col("m") < F.col("v")), "left_semi")).limit(1).count():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         moved = both.join(least, F.col("u") == F.col("n")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         moved = moved.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).filter("a <> b")
-        after = materialize(moved.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-        same = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-        if after.agg(*same).first() == now.agg(*same).first():
-            return after.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        links = moved.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        after = materialize(links.mapInArrow(_contract(limit), f"u {kind}, v {kind}") if limit else links)
+        discard(now)
         now = after

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -13,6 +14,7 @@ from .components import connected_components
 
 BASES, GAPS = "ACGT", "-0"
 MOST_BASES = 2048  # half-precision sums of ones stop here
+MOST_READS = 512  # distinct reads of a molecule that stand in one array
 
 
 @lru_cache(maxsize=1)
@@ -36,34 +38,58 @@ def gap_weight(n: Column) -> Column:
     return out
 
 
-def _winner(counts: dict[str, Column]) -> Column:
-    """The symbol of greatest weight; ties go to the first of A C G T - 0, and other characters weigh nothing."""
-    weights = [(s, F.least(counts[s], F.lit(MOST_BASES)).cast("double") if s in BASES else gap_weight(counts[s])) for s in BASES + GAPS]
-    best = F.greatest(*[w for _, w in weights])
-    out = F.lit(GAPS[-1])
-    for symbol, weight in reversed(weights[:-1]):
-        out = F.when(weight == best, symbol).otherwise(out)
-    return out
+def _winner(counts: Column) -> Column:
+    """The symbol of greatest weight, from an array of the counts of A C G T - 0; ties go to the first, and
+    other characters weigh nothing."""
+    weight = lambda n, j: F.when(j < len(BASES), F.least(n, F.lit(MOST_BASES)).cast("double")).otherwise(gap_weight(n))
+    best = F.array_max(F.transform(counts, lambda n, j: F.struct(weight(n, j).alias("w"), (-j).alias("j"))))
+    return F.substring(F.lit(BASES + GAPS), 1 - best["j"], F.lit(1))
+
+
+def _consensus(reads: Column) -> Column:
+    """Consensus of an array of (clone_id, n) with n > 0 equal reads each, of equal lengths. Only positions at
+    which reads differ are voted on, and only over the symbols that stand there."""
+    first = reads[0]["clone_id"]
+    unequal = F.exists(reads, lambda r: F.length(r["clone_id"]) != F.length(first))
+    at = lambda r, i: F.substring(r["clone_id"], i, F.lit(1))
+    count = lambda i, s: F.aggregate(reads, F.lit(0).cast("long"), lambda acc, r: F.when(at(r, i) == s, acc + r["n"]).otherwise(acc))
+    weigh = lambda s, n: F.when(F.instr(F.lit(GAPS), s) > 0, gap_weight(n)).otherwise(F.least(n, F.lit(MOST_BASES)).cast("double"))
+
+    def vote(i: Column) -> Column:
+        present = F.array_distinct(F.transform(reads, lambda r: at(r, i)))
+        known = F.filter(present, lambda s: F.instr(F.lit(BASES + GAPS), s) > 0)
+        counted = F.transform(known, lambda s: F.struct(s.alias("s"), count(i, s).alias("n")))
+        weights = F.transform(counted, lambda c: F.struct(weigh(c["s"], c["n"]).alias("w"), (-F.instr(F.lit(BASES + GAPS), c["s"])).alias("j"), c["s"].alias("s")))
+        return F.coalesce(F.array_max(weights)["s"], F.lit(BASES[0]))
+
+    same = lambda i: ~F.exists(reads, lambda r: at(r, i) != F.substring(first, i, F.lit(1)))
+    usual = lambda s: F.when(F.instr(F.lit(BASES + GAPS), s) > 0, s).otherwise(F.lit(BASES[0]))
+    columns = F.transform(F.sequence(F.lit(1), F.length(first)), lambda i: F.when(same(i), usual(F.substring(first, i, F.lit(1)))).otherwise(vote(i)))
+    return F.when(unequal, F.raise_error(F.lit("reads of a molecule have unequal lengths"))).when(F.length(first) > 0, F.array_join(columns, "")).otherwise("")
 
 
 def compute_molecules(reads: DataFrame) -> DataFrame:
     """(cell_id, umi, clone_id, read_count): the consensus of the reads of each cell and UMI.
 
-    Equal reads are counted before anything is shuffled by group, and groups with one distinct
-    sequence need no look at positions. For the others positions are exploded and added up under the
-    same partitioning, by (cell_id, umi). A single read is kept as it is.
+    Equal reads are counted before they are shuffled by group, so a group has a row a distinct read. A
+    molecule of up to MOST_READS distinct reads is one array, and its positions are voted on in place;
+    the rows of larger ones are never gathered: their positions are exploded and added up by
+    (cell_id, umi, position) with partial sums. A single read is kept as it is.
     """
     counted = reads.groupBy("cell_id", "umi", "clone_id").agg(F.count("*").alias("n"))
-    group = Window.partitionBy("cell_id", "umi")
-    w = counted.select("*", F.count("*").over(group).alias("k"), F.sum("n").over(group).alias("read_count"), F.min(F.length("clone_id")).over(group).alias("_short"))
-    alone = w.filter("k = 1").select("cell_id", "umi", F.when(F.col("read_count") == 1, F.col("clone_id")).otherwise(F.regexp_replace("clone_id", "[^ACGT0-]", "A")).alias("clone_id"), "read_count")
-    checked = F.when(F.length("clone_id") != F.col("_short"), F.raise_error(F.lit("reads of a molecule have unequal lengths"))).otherwise(F.col("clone_id"))
-    spread = w.filter("k > 1").select("cell_id", "umi", "read_count", "n", F.posexplode(F.split(checked, "")).alias("pos", "ch"))
-    sums = [F.coalesce(F.sum(F.when(F.col("ch") == s, F.col("n"))), F.lit(0)).alias(f"n_{s}") for s in BASES + GAPS]
-    columns = spread.groupBy("cell_id", "umi", "read_count", "pos").agg(*sums)
-    best = columns.select("cell_id", "umi", "read_count", "pos", _winner({s: F.col(f"`n_{s}`") for s in BASES + GAPS}).alias("ch"))
-    joined = best.groupBy("cell_id", "umi", "read_count").agg(F.array_sort(F.collect_list(F.struct("pos", "ch"))).alias("c"))
-    return alone.unionByName(joined.select("cell_id", "umi", F.array_join("c.ch", "").alias("clone_id"), "read_count"))
+    w = counted.select("*", F.count("*").over(Window.partitionBy("cell_id", "umi")).alias("k"))
+    few = w.filter(F.col("k") <= MOST_READS).groupBy("cell_id", "umi").agg(F.collect_list(F.struct("clone_id", "n")).alias("r"), F.sum("n").alias("read_count"))
+    first = F.col("r")[0]["clone_id"]
+    same = F.when(F.col("read_count") == 1, first).otherwise(F.regexp_replace(first, "[^ACGT0-]", "A"))
+    # as a generator's output the vote is a column that filters refer to, not an expression copied into them
+    voted = few.select("cell_id", "umi", F.explode(F.array(F.when(F.size("r") == 1, same).otherwise(_consensus(F.col("r"))))).alias("clone_id"), "read_count")
+    spread = w.filter(F.col("k") > MOST_READS).select("cell_id", "umi", "n", F.length("clone_id").alias("width"), F.posexplode(F.split("clone_id", "")).alias("pos", "ch"))
+    sums = [F.sum(F.when(F.col("ch") == s, F.col("n")).otherwise(F.lit(0))).alias(f"n_{s}") for s in BASES + GAPS]
+    columns = spread.groupBy("cell_id", "umi", "pos").agg(*sums, F.sum("n").alias("read_count"), F.min("width").alias("least"), F.max("width").alias("most"))
+    best = columns.select("cell_id", "umi", "pos", "read_count", "least", "most", _winner(F.array(*[F.col(f"`n_{s}`") for s in BASES + GAPS])).alias("ch"))
+    joined = best.groupBy("cell_id", "umi").agg(F.array_sort(F.collect_list(F.struct("pos", "ch"))).alias("c"), F.max("read_count").alias("read_count"), F.min("least").alias("least"), F.max("most").alias("most"))
+    whole = F.when(F.col("least") != F.col("most"), F.raise_error(F.lit("reads of a molecule have unequal lengths"))).otherwise(F.array_join("c.ch", ""))
+    return voted.unionByName(joined.select("cell_id", "umi", whole.alias("clone_id"), "read_count"))
 
 
 def drop_low_complexity(molecules: DataFrame) -> DataFrame:
@@ -79,12 +105,42 @@ def similar_pairs(ids: DataFrame, min_overlap: int, max_hamming: int, k: int = 7
     known = ids.select("clone_id").distinct().filter(sq.known_length(F.col("clone_id")) >= min_overlap)
     known = known.select(F.col("clone_id").alias("id"), sq.packed(F.col("clone_id")).alias("p"))
     if k < 5:
-        a, b, on = known.alias("a"), known.alias("b"), F.lit(True)
-    else:
-        words = known.select("id", "p", F.explode(F.array_distinct(sq.kmers(F.col("id"), k))).alias("kmer"))
-        a, b, on = words.alias("a"), words.alias("b"), F.col("a.kmer") == F.col("b.kmer")
-    similar = sq.is_similar(F.col("a.id"), F.col("b.id"), min_overlap, max_hamming, F.col("a.p"), F.col("b.p"))
-    return a.join(b, on & (F.col("a.id") < F.col("b.id")) & similar).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+        return pairs_in_blocks(known, lambda a, b: sq.is_similar(F.col("a.id"), F.col("b.id"), min_overlap, max_hamming, a, b)).distinct()
+    words = known.select("id", "p", F.explode(F.array_distinct(sq.kmers(F.col("id"), k))).alias("kmer"))
+    found = []
+    for fits, other in ((True, True), (False, None)):
+        a = words.filter(F.col("p").isNotNull() if fits else F.col("p").isNull()).alias("a")
+        b = (words.filter(F.col("p").isNotNull()) if other else words).alias("b")
+        if fits:
+            once = F.col("a.id") < F.col("b.id")
+            similar = sq.is_similar_packed(F.col("a.id"), F.col("b.id"), min_overlap, max_hamming, F.col("a.p"), F.col("b.p"))
+        else:
+            once = F.when(F.col("b.p").isNull(), F.col("a.id") < F.col("b.id")).otherwise(F.lit(True))
+            similar = sq.is_similar(F.col("a.id"), F.col("b.id"), min_overlap, max_hamming, F.col("a.p"), F.col("b.p"))
+        found.append(a.join(b, (F.col("a.kmer") == F.col("b.kmer")) & once & similar).select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")))
+    return found[0].unionByName(found[1]).distinct()
+
+
+def pairs_in_blocks(ids: DataFrame, condition: Callable[[Column, Column], Column], per_block: int = 2048, least: int = 16) -> DataFrame:
+    """(u, v), u < v, of all pairs of (id, p) that fulfil the condition on their packed forms: the ids are
+    dealt into blocks, and each pair of blocks is a key of an equi-join of bounded size."""
+    dealt, blocks = deal(ids, per_block, least)
+    a, b = in_pairs(dealt, blocks)
+    once = (F.col("a.i") < F.col("a.j")) | (F.col("a.id") < F.col("b.id"))
+    return a.join(b.hint("shuffle_hash"), (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & once & condition(F.col("a.p"), F.col("b.p"))).select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v"))
+
+
+def deal(ids: DataFrame, per_block: int = 2048, least: int = 16) -> tuple[DataFrame, int]:
+    """ids with a block number, and the number of blocks, which comes from a count."""
+    blocks = max(least, -(-ids.count() // per_block))
+    return ids.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), blocks
+
+
+def in_pairs(dealt: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on (i, j), i <= j: a has the rows of block i, b those of block j."""
+    a = dealt.select("*", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("j")).alias("a")
+    b = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j")).alias("b")
+    return a, b
 
 
 def correction_map(molecules: DataFrame, max_hamming: int = 5, min_overlap: int = 20, k: int = 7) -> DataFrame:
@@ -129,20 +185,46 @@ def correct_per_cell(molecules: DataFrame, max_hamming: int = 5, min_overlap: in
     return _apply(molecules, molecules.join(changes, (F.col("clone_id") == F.col("_from")) & (F.col("cell_id") == F.col("_cell")), "left"))
 
 
+def _known_mask(clone_id: Column) -> Column:
+    """1 where a position is known, 0 where it is not."""
+    return F.regexp_replace(F.translate(clone_id, "-0", "\n\n"), "[^\n]", "1")
+
+
+def _under(clone_id: Column, mask: Column) -> Column:
+    """The characters at the positions that are 1 in the mask; positions past its end are left out."""
+    kept = F.zip_with(F.split(clone_id, ""), F.split(mask, ""), lambda c, m: F.when(m == "1", c).otherwise(F.lit("")))
+    return F.array_join(kept, "", "")
+
+
+def _common_mask(a: Column, b: Column) -> Column:
+    """1 where both masks are 1, cut at the shorter."""
+    n = F.least(F.length(a), F.length(b))
+    both = F.zip_with(F.slice(F.split(a, ""), F.lit(1), n), F.slice(F.split(b, ""), F.lit(1), n), lambda x, y: F.when((x == "1") & (y == "1"), F.lit("1")).otherwise(F.lit("0")))
+    return F.array_join(both, "")
+
+
 def exclude(molecules: DataFrame, excluded: DataFrame) -> DataFrame:
     """Without molecules whose cloneID is in the list, or agrees with an entry on all positions known in
-    both while one of the two is partial. Lists may be long: equal IDs are found by hash, and only
-    distinct partial IDs on either side are compared one by one."""
+    both while one of the two is partial.
+
+    Lists may be long: equal IDs are found by hash. For the others there is one equi-join: IDs with the
+    same known positions have the same mask, masks are few, and for each two masks IDs and entries are
+    joined on their characters at the positions known in both, so no ID is compared with another one.
+    A partial entry of another length than an ID is an error."""
     ids = molecules.select("clone_id").distinct()
     entries = excluded.select(F.col(excluded.columns[0]).alias("entry")).distinct()
-    entries = entries.select("entry", sq.packed(F.col("entry")).alias("q"), sq.is_full(F.col("entry")).alias("full"))
     exact = ids.join(entries.select(F.col("entry").alias("clone_id")), "clone_id", "left_semi")
-    rest = ids.join(exact, "clone_id", "left_anti").select("clone_id", sq.packed(F.col("clone_id")).alias("p"))
-    _, mismatches = sq.overlap_and_mismatches(F.col("clone_id"), F.col("entry"), F.col("p"), F.col("q"))
-    agrees = F.when((F.length("clone_id") != F.length("entry")) & ~F.col("full"), F.raise_error(F.lit("sequences of unequal lengths")).cast("boolean")).otherwise(mismatches == 0)
-    by_partial_entry = rest.join(entries.filter(~F.col("full")), agrees, "left_semi").select("clone_id")
-    by_partial_id = rest.filter(~sq.is_full(F.col("clone_id"))).join(entries.filter("full"), agrees, "left_semi").select("clone_id")
-    gone = exact.select("clone_id").unionByName(by_partial_entry).unionByName(by_partial_id).distinct()
+    rest = ids.join(exact, "clone_id", "left_anti").select("clone_id", _known_mask(F.col("clone_id")).alias("m"))
+    entries = entries.select("entry", _known_mask(F.col("entry")).alias("e"))
+    own = rest.groupBy("m").agg(F.lit(1).alias("one")).select("m", F.abs(F.hash(F.col("one"))).alias("x"))
+    theirs = entries.groupBy("e").agg(F.lit(1).alias("one")).select("e", F.abs(F.hash(F.col("one"))).alias("x"))
+    partial = F.col("m").contains("\n") | F.col("e").contains("\n")
+    wrong = F.col("e").contains("\n") & (F.length("m") != F.length("e"))
+    masks = own.join(theirs, "x").filter(F.when(wrong, F.raise_error(F.lit("sequences of unequal lengths")).cast("boolean")).otherwise(partial))
+    masks = masks.select("m", "e", _common_mask(F.col("m"), F.col("e")).alias("both"))
+    left = rest.join(masks, "m").select("clone_id", "m", "e", _under(F.col("clone_id"), F.col("both")).alias("key"))
+    right = entries.join(masks, "e").select("m", "e", _under(F.col("entry"), F.col("both")).alias("key")).distinct()
+    gone = exact.select("clone_id").unionByName(left.join(right, ["m", "e", "key"], "left_semi").select("clone_id"))
     return molecules.join(gone, "clone_id", "left_anti").select(*molecules.columns)
 
 

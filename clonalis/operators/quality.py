@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
+from .molecules import deal, in_pairs
 
 
 def reads_per_molecule(reads: DataFrame) -> DataFrame:
@@ -59,8 +60,13 @@ def jaccard_pairs(cells: DataFrame) -> DataFrame:
 
 def hamming_histogram(molecules: DataFrame) -> DataFrame:
     """(distance, n_pairs) over all pairs of distinct full cloneIDs. It is a table of all pairs by its
-    definition: the distinct IDs are packed into bits, one side is dealt out, and only counts leave."""
-    ids = molecules.select("clone_id").filter(sq.is_full(F.col("clone_id"))).distinct().select("clone_id", sq.packed(F.col("clone_id")).alias("p"))
-    a, b = ids.alias("a"), ids.alias("b")
-    _, differ = sq.overlap_and_mismatches(F.col("a.clone_id"), F.col("b.clone_id"), F.col("a.p"), F.col("b.p"))
-    return a.join(b, F.col("a.clone_id") < F.col("b.clone_id")).groupBy(differ.cast("long").alias("distance")).agg(F.count("*").alias("n_pairs"))
+    definition: the distinct IDs are packed into bits and dealt into blocks, each pair of blocks is a key
+    of an equi-join, and only counts leave it. IDs that don't fit into bits are compared by position."""
+    ids = molecules.select(F.col("clone_id").alias("id")).filter(sq.is_full(F.col("id"))).distinct().select("id", sq.packed(F.col("id")).alias("p"))
+    dealt, blocks = deal(ids, per_block=4096, least=32)
+    a, b = in_pairs(dealt, blocks)
+    unit = (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & ((F.col("a.i") < F.col("a.j")) | (F.col("a.id") < F.col("b.id")))
+    on_bits = a.filter("p is not null").alias("a").join(b.filter("p is not null").alias("b").hint("shuffle_hash"), unit).select(sq.packed_mismatches(F.col("a.p"), F.col("b.p")).alias("distance"))
+    by_place = a.join(b.hint("shuffle_hash"), unit & (F.col("a.p").isNull() | F.col("b.p").isNull())).select(sq.hamming(F.col("a.id"), F.col("b.id")).alias("distance"))
+    counts = [t.groupBy(F.col("distance").cast("long").alias("distance")).agg(F.count("*").alias("n")) for t in (on_bits, by_place)]
+    return counts[0].unionByName(counts[1]).groupBy("distance").agg(F.sum("n").alias("n_pairs"))

@@ -42,8 +42,9 @@ ENDS |= {"dd": ENDS["dt"], "th": ENDS["td"], "thead": ENDS["tbody"], "tfoot": EN
 SECTIONS = frozenset({"tbody", "thead", "tfoot"})
 IN_TABLE = SECTIONS | {"caption", "colgroup", "col", "tr", "td", "th", "style", "script", "template"}
 TABLE_PARTS = SECTIONS | {"table", "tr", "colgroup"}
-DEPTH = 200
-#: A cell's line that is longer doesn't widen its column.
+#: Elements nested deeper keep their text, visibility and line breaks, but not the layout of lists and tables.
+NESTED = 180
+#: A cell's line that is longer doesn't widen its column; the rest of its row goes on below it, in its columns.
 COLUMN = 120
 _ATTRIBUTE = re.compile(r"""\s*/?\s*([^\s=>/][^\s=>/]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _CSS = re.compile(r""""(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|\\.|[{};]""", re.S)
@@ -56,6 +57,36 @@ _NO_SCREEN = re.compile(r"(?:only )?(?:print|speech)\b|not (?:all|screen)$")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
 
 
+class _Open(list):
+    """Open elements, and the places of those of each tag."""
+
+    def __init__(self, nodes):
+        super().__init__()
+        self.places: dict[str, list[int]] = {}
+        for node in nodes:
+            self.append(node)
+
+    def append(self, node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self))
+        super().append(node)
+
+    def pop(self):
+        node = super().pop()
+        self.places[node.tag].pop()
+        return node
+
+    def cut(self, place: int) -> None:
+        while len(self) > place:
+            self.pop()
+
+    def innermost(self, tags) -> int:
+        """Place of the innermost open element of the tags; 0 if there is none."""
+        places = self.places
+        if len(tags) < len(places):
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+        return max((at[-1] for t, at in places.items() if at and t in tags), default=0)
+
+
 class Node:
     __slots__ = ("attributes", "children", "shown", "tag")
 
@@ -68,7 +99,7 @@ class TreeBuilder:
 
     def __init__(self):
         self.root = Node("html")
-        self.open = [self.root]
+        self.open = _Open([self.root])
         self.title: str | None = None
         self.styles: list[tuple[str, str]] = []  # media and sheet
         self.drawn = False  # a drawing or formula has begun somewhere
@@ -166,16 +197,12 @@ class TreeBuilder:
 
     def drawing(self) -> int:
         """Place of the innermost open drawing or formula, 0 if there is none or HTML goes on in it."""
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in HTML_AGAIN:
-                return 0
-            if self.open[k].tag in ("svg", "math"):
-                return k
-        return 0
+        k = self.open.innermost(("svg", "math"))
+        return k if k > self.open.innermost(HTML_AGAIN) else 0
 
     def leave_drawing(self) -> None:
         while k := self.drawing():
-            del self.open[k:]
+            self.open.cut(k)
 
     def leave_head(self) -> None:
         if self.open[-1].tag == "head":
@@ -183,21 +210,17 @@ class TreeBuilder:
 
     def foster(self, child) -> None:
         """Content that a table can't have stands before it."""
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == "table":
-                above = self.open[k - 1].children
-                place = next((i for i in range(len(above) - 1, -1, -1) if above[i] is self.open[k]), len(above))
-                above.insert(place, child)
-                return
+        if k := self.open.innermost(("table",)):
+            above = self.open[k - 1].children
+            place = next((i for i in range(len(above) - 1, -1, -1) if above[i] is self.open[k]), len(above))
+            above.insert(place, child)
+            return
         self.open[-1].children.append(child)
 
     def close(self, tags: frozenset, stops: frozenset) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in tags:
-                del self.open[k:]
-                return
-            if self.open[k].tag in stops:
-                return
+        k = self.open.innermost(tags)
+        if k and k >= self.open.innermost(stops):
+            self.open.cut(k)
 
     def start(self, tag: str, attributes: dict[str, str]) -> None:
         if tag in ("html", "body"):
@@ -222,7 +245,7 @@ class TreeBuilder:
             if tag in SECTIONS:
                 self.close(frozenset({"tr"}), frozenset({"table"}))
             self.close(*ENDS[tag])
-        if tag in ("td", "th", "tr") and any(o.tag == "table" for o in self.open):
+        if tag in ("td", "th", "tr") and self.open.places.get("table"):
             if self.open[-1].tag in ("table", "colgroup"):
                 if self.open[-1].tag == "colgroup":
                     self.open.pop()
@@ -238,9 +261,6 @@ class TreeBuilder:
         self.push(node, tag in VOID)
 
     def push(self, node: Node, leaf: bool = False) -> None:
-        """Elements deeper than DEPTH become siblings, as in browsers."""
-        if len(self.open) > DEPTH and not leaf:
-            self.open.pop()
         self.open[-1].children.append(node)
         if not leaf:
             self.open.append(node)
@@ -387,7 +407,19 @@ class Visibility:
     def apply(self, node: Node, above: list[Node], hidden: bool = False, drawn: bool = False) -> None:
         """Sets shown of all elements below a node. Elements of a hidden one may be visible again."""
         above.append(node)
-        for child in node.children:
+        frames = [(node, iter(node.children), hidden, drawn)]
+        while frames:
+            node, children, hidden, drawn = frames[-1]
+            child = next(children, None)
+            if child is None:
+                frames.pop()
+                above.pop()
+                if frames and hidden:
+                    node.children = [c for c in node.children if isinstance(c, Node) and c.shown]
+                    node.shown = bool(node.children)
+                elif frames and drawn and node.tag in ("text", "mtd"):
+                    node.children = [" ", *node.children, " "]
+                continue
             if isinstance(child, str):
                 continue
             tag, a = child.tag, child.attributes
@@ -399,14 +431,8 @@ class Visibility:
                 child.shown = False
                 continue
             out_of_sight = own["visibility"] in ("hidden", "collapse") if own.get("visibility", "inherit") != "inherit" else hidden
-            inside = tag in ("svg", "math") or (drawn and tag != "foreignobject")
-            self.apply(child, above, out_of_sight, inside)
-            if out_of_sight:
-                child.children = [c for c in child.children if isinstance(c, Node) and c.shown]
-                child.shown = bool(child.children)
-            elif inside and tag in ("text", "mtd"):
-                child.children = [" ", *child.children, " "]
-        above.pop()
+            above.append(child)
+            frames.append((child, iter(child.children), out_of_sight, tag in ("svg", "math") or (drawn and tag != "foreignobject")))
 
     def shows(self, node: Node) -> bool:
         return node.shown
@@ -486,7 +512,7 @@ def _number(value: str | None, otherwise: int, most: int = 1 << 31) -> int:
 
 class Renderer:
     def __init__(self, visibility: Visibility):
-        self.visibility = visibility
+        self.visibility, self.nested = visibility, 0
 
     def lines(self, node: Node, kept: bool = False) -> list[str]:
         flow = Flow()
@@ -494,14 +520,39 @@ class Renderer:
         return flow.done()
 
     def children(self, node: Node, flow: Flow, kept: bool) -> None:
-        shown = node.children
-        if node.tag == "details" and "open" not in node.attributes:
-            shown = [c for c in shown if isinstance(c, Node) and c.tag == "summary"][:1]
-        for child in shown:
+        if self.nested > NESTED:
+            self.flat(node, flow, kept)
+            return
+        self.nested += 1
+        for child in self.unfolded(node):
             if isinstance(child, str):
                 flow.as_is(child) if kept else flow.text(child)
             elif self.visibility.shows(child):
                 self.element(child, flow, kept)
+        self.nested -= 1
+
+    def unfolded(self, node: Node) -> list:
+        if node.tag == "details" and "open" not in node.attributes:
+            return [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
+        return node.children
+
+    def flat(self, node: Node, flow: Flow, kept: bool) -> None:
+        """Text of all below a node, without recursion: blocks, rows and items break lines, cells are set off by spaces."""
+        frames = [(node, iter(self.unfolded(node)), kept)]
+        while frames:
+            node, children, kept = frames[-1]
+            child = next(children, None)
+            if child is None:
+                frames.pop()
+                if frames:
+                    flow.text(" ") if node.tag in ("td", "th") else flow.end() if node.tag in BLOCKS or node.tag == "tr" else None
+            elif isinstance(child, str):
+                flow.as_is(child) if kept else flow.text(child)
+            elif child.tag == "br":
+                flow.wrap()
+            elif self.visibility.shows(child) and child.tag not in VOID:
+                flow.text(" ") if child.tag in ("td", "th") else flow.end() if child.tag in BLOCKS or child.tag == "tr" else None
+                frames.append((child, iter(self.unfolded(child)), kept or child.tag in ("pre", "xmp", "plaintext", "listing", "textarea")))
 
     def element(self, node: Node, flow: Flow, kept: bool) -> None:
         tag = node.tag
@@ -565,7 +616,7 @@ class Renderer:
         flow.space()
 
     def rows(self, node: Node) -> Iterator[Node]:
-        """Rows of a table; what the cut at DEPTH left beside them is a row of its own."""
+        """Rows of a table; what stands beside them is a row of its own."""
         beside = Node("tr")
         for child in node.children:
             if isinstance(child, str) or child.tag in ("caption", "col", "colgroup") or not self.visibility.shows(child):
@@ -584,7 +635,7 @@ class Renderer:
             yield beside
 
     def cells(self, row: Node) -> Iterator[Node]:
-        """Cells of a row, each with what the cut at DEPTH left after it."""
+        """Cells of a row, each with what stands after it."""
         cell, joined = None, False
         for child in row.children:
             if isinstance(child, Node) and child.tag in ("td", "th"):
@@ -638,6 +689,9 @@ class Renderer:
                 for column, _, lines in cells:
                     if k < len(lines) and lines[k]:
                         at = starts.get(column, len(line))
+                        if len(line) > max(at, COLUMN):
+                            out.append(line)
+                            line = ""
                         line = line.ljust(at) if len(line) <= at else line + "  "
                         line += lines[k]
                 out.append(line)
@@ -669,8 +723,8 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "
     """Per page: page_id, title, text, n_chars and n_lines of its visible text.
 
     Blocks start lines, paragraphs, headings, lists and tables are set off by one empty line, list items
-    have marks or numbers and hang below each other, cells of a column start at the same place (lines
-    of over COLUMN characters don't widen it), and preformatted text is kept as it is. Null and empty
+    have marks or numbers and hang below each other, cells of a column start at the same place (after
+    a line of over COLUMN characters the row goes on in the next line), and preformatted text is kept as it is. Null and empty
     pages have an empty text and no title; repeated rows each get a row; an empty table gives none;
     other columns are ignored.
     """

@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 TRIGGER = re.compile(r"licen[cs]|copyright|redistribut|warrant|spdx|public domain|rights reserved|permission|as is\b|\bas-is|liable|unencumbered|cc[ -]by|creative commons|\bfsf\b", re.I)
 _END = re.compile(r"[.!?;](?=[\s\"')*/#]|$)|\n[ \t*/#;%>-]*\n|\Z")
 _START = re.compile(r"[.!?;](?=[\s\"')*/#])|\n[ \t*/#;%>-]*\n")
+#: Most other words between two sentences of one rule; white space and marks don't count.
+WORDS_BETWEEN = 50
+_WORD = re.compile(r"[^\W_]+")
 _LEADER = re.compile(r"(?m)^[ \t]*(?:[*/#;%>|-]+[ \t]*)+")
-#: Most characters between two sentences of one rule.
-APART = 400
 
 
 def normalise(sentence: str) -> str:
@@ -214,6 +215,7 @@ class Sentence(NamedTuple):
     identifier: str | None
     start: int
     end: int
+    between: int = 0  # words after the sentence before
 
 
 def sentences(text: str) -> list[Sentence]:
@@ -230,7 +232,7 @@ def sentences(text: str) -> list[Sentence]:
         out += [Sentence(name, start + a, start + b) for name, a, b in known_lines(own)] or [Sentence(None, start + len(own) - len(own.lstrip()), end)]
         done = max(end, at.end())
         at = TRIGGER.search(text, done)
-    return out
+    return [s._replace(between=len(_WORD.findall(text, before.end, s.start))) for before, s in zip([Sentence(None, 0, 0), *out], out, strict=False)]
 
 
 class Match(NamedTuple):
@@ -240,12 +242,13 @@ class Match(NamedTuple):
 
 
 def match_rules(found: list[Sentence]) -> tuple[list[Match], int]:
-    """Licenses in the order of the text, and how many sentences belong to none."""
+    """Licenses in the order of the text, and how many sentences belong to none. A rule is met by identifiers that
+    follow each other with at most WORDS_BETWEEN other words between two, however much white space."""
     matches, at, unknown = [], 0, 0
     while at < len(found):
         for name, rule in RULES:
             part = found[at : at + len(rule)]
-            if len(part) == len(rule) and all(_fits(s.identifier, r) for s, r in zip(part, rule, strict=True)) and all(b.start - a.end <= APART for a, b in zip(part, part[1:], strict=False)):
+            if len(part) == len(rule) and all(_fits(s.identifier, r) for s, r in zip(part, rule, strict=True)) and all(s.between <= WORDS_BETWEEN for s in part[1:]):
                 matches.append(Match(part[0].identifier.partition(":")[2] if name == "*" else name, part[0].start, part[-1].end))
                 at += len(rule)
                 break

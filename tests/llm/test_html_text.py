@@ -117,3 +117,19 @@ def test_what_is_shown(page, want):
 def test_cells_at_the_depth_limit(above):
     page = "<div>" * above + "<table><tr><td>w1<b>w2</b><i>w3</i><td><p>w4</p>w5</table>"
     assert sorted(re.findall(r"w\d", text(page))) == ["w1", "w2", "w3", "w4", "w5"]
+
+
+@pytest.mark.parametrize("depth", [0, 10, 190, 250, 20_000])
+def test_hidden_content_at_any_depth(depth):
+    page = "<div>" * depth + "<div hidden><p>SECRET<span>IN</p>more</div>" + "<p>seen<b> too</b><ul><li>one<li>two</ul>" + "</div>" * depth + "<p>after"
+    text = ht.render(page)[0]
+    assert "SECRET" not in text and "IN" not in text and "more" not in text
+    assert text.split() == ["seen", "too", *(["*", "one", "*", "two"] if depth < 170 else ["one", "two"]), "after"]
+    lines = [x for x in text.split("\n") if x]
+    assert lines[0] == "seen too" and lines[-1] == "after"
+
+
+def test_long_cells_keep_the_columns():
+    page = "<table><tr><td>a<td>b<td>c<tr><td>" + "w" * 500 + "<td>x<td>y<tr><td>dd<td>e<td>f</table>"
+    lines = ht.render(page)[0].split("\n")
+    assert lines == ["a   b  c", "w" * 500, "    x  y", "dd  e  f"]

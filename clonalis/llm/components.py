@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Scratch
+from .runtime import Scratch, join_hot
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -14,7 +14,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy(F.col("u").alias("_node")).agg(F.min("v").alias("_least"))
+    return pairs.groupBy(F.col("u").alias("_node")).agg(F.min("v").alias("_least"), F.count("*").alias("_degree"))
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 100) -> DataFrame:
@@ -23,8 +23,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     Large-star links each node's larger neighbours to the smallest of its neighbours and itself;
     small-star links its smaller neighbours and itself to the smallest of them. Alternated until
     nothing changes, every tree is a star around its smallest node. The least neighbour of a node is
-    an aggregate with map-side partials and its edges are joined with that one row, so a node with a
-    large share of all edges is never gathered in one task. Each round is written to the shared
+    an aggregate with map-side partials; its edges are joined with that one row, which is broadcast for
+    the few nodes that have a large share of all edges, so that no task gathers a hub. Each round is written to the shared
     folder. Self-loops and rows with a null end are ignored.
     """
     scratch = Scratch(edges.sparkSession, "components")
@@ -35,17 +35,15 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         if not state[0]:
             break
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least(both).select("_node", F.least("_node", "_least").alias("_least"))
-        large = (
-            both.filter(F.col("v") > F.col("u")).join(least, F.col("u") == F.col("_node"))
-            .select(F.col("v").alias("u"), F.col("_least").alias("v")).distinct()
-        )
-        large = scratch.save(large, "large")
-        small = large.join(_least(large), F.col("u") == F.col("_node"))
+        least = scratch.save(_least(both).select("_node", F.least("_node", "_least").alias("_least"), "_degree"), "least", 2 * state[0])
+        upward = both.filter(F.col("v") > F.col("u"))
+        large = scratch.save(join_hot(upward, "u", least, "_node", "_degree", 2 * state[0]).select(F.col("v").alias("u"), F.col("_least").alias("v")).distinct(), "large", state[0])
+        nearest = scratch.save(_least(large), "nearest", state[0])
+        small = join_hot(large, "u", nearest, "_node", "_degree", state[0])
         small = small.filter(F.col("v") != F.col("_least")).select(F.col("v").alias("u"), F.col("_least").alias("v"))
-        small = small.unionByName(_least(large).select(F.col("_node").alias("u"), F.col("_least").alias("v"))).distinct()
-        after = scratch.save(small, "small")
-        scratch.drop(now, large)
+        small = small.unionByName(nearest.select(F.col("_node").alias("u"), F.col("_least").alias("v"))).distinct()
+        after = scratch.save(small, "small", state[0])
+        scratch.drop(now, large, least, nearest)
         now, before, state = after, state, _fingerprint(after)
         if state == before:
             break

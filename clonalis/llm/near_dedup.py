@@ -4,12 +4,11 @@ verification, confirmation on full shingle sets, and connected components.
 1. Each document's distinct word shingles become 64-bit hashes, and these a signature (the minima
    under HASHES universal functions). Documents with equal sets form a class, represented by its
    smallest id; only representatives go on.
-2. Representatives that agree on all rows of a band share a bucket. Buckets are cut into blocks of at
-   most BLOCK members, and each pair of blocks is a unit of work of bounded size, in which signatures
-   are compared with each other; links whose estimated similarity is SLACK below the threshold or
-   better give the unit's connected parts, and a unit emits those, at most one row a member.
-3. Components of these give groups outside which no link can be. Groups are cut into blocks again, and
-   within pairs of blocks the exact intersection sizes of all full sets come from matrix products.
+2. Representatives that agree on all rows of a band share a bucket. Within buckets signatures are
+   compared, in units of bounded size (see _links), and links whose estimated similarity is SLACK below
+   the threshold or better join the members of a unit's connected parts.
+3. Components of these give groups outside which no link can be. Within groups, in units again, the
+   exact intersection sizes of the full sets come from matrix products.
 4. Components of the confirmed links are the result.
 
 A row of BANDS x ROWS minima misses a pair of similarity s with probability (1 - s^ROWS)^BANDS:
@@ -26,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import Scratch, lean
+from .runtime import Scratch, fresh, join_hot, lean
 from .textvec import NON_SPACE, mix, shingle_sets, utf8_chunks, words_of
 
 SHINGLE, THRESHOLD_PERCENT, BANDS, ROWS = 5, 85, 24, 5
 HASHES = BANDS * ROWS
 SLACK = 0.14  # over four standard deviations of the estimate from 120 minima
-BLOCK = 256
+BLOCK = 96
+#: Members of a group, about, that stand in each of its blocks.
+LEADERS = 6
 _STEP = 2048
 
 
@@ -171,34 +172,63 @@ def _edges(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in parts]).astype(np.int64)) for i in (0, 1)], names=["u", "v"])
 
 
-def _in_blocks(members: DataFrame) -> DataFrame:
-    """(g, i, j, id): members (g, id) of groups, n a group, for each pair of blocks i <= j of their group.
-
-    A group of up to BLOCK members is one unit; otherwise each member goes to as many units as there
-    are blocks, and a unit holds about 2 BLOCK members."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    t = members.select("g", "id", own.alias("_own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
-    return t.select("g", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "id")
-
+def _run(units: DataFrame, payloads: DataFrame, alike: Callable, percent: int) -> DataFrame:
+    """Links within units (g, i, j, id). payloads: (id, payload). Members carry their payload to the units they are in."""
+    n = max(1, int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    full = units.join(payloads, "id").select("g", "i", "j", "id", "payload")
+    return full.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j", "id").mapInArrow(lean(_linked(alike, percent)), "u bigint, v bigint")
 
-def _grouped(members: DataFrame) -> DataFrame:
-    """(g, id, n) of the groups of two members or more."""
-    sizes = members.groupBy(F.col("g").alias("_g")).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    return members.join(sizes, F.col("g") == F.col("_g")).select("g", "id", "n")
 
+def _links(scratch: Scratch, members: DataFrame, payloads: DataFrame, alike: Callable, percent: int) -> DataFrame:
+    """(u, v): links whose connected parts are those of all links between members (g, id) of a group.
 
-def _links(units: DataFrame, payloads: DataFrame, alike: Callable, percent: int) -> DataFrame:
-    """payloads: (id, payload). A block's members carry their payload to the units they are in."""
-    full = units.join(payloads, "id").select("g", "i", "j", "id", "payload")
-    return full.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "id").mapInArrow(lean(_linked(alike, percent)), "u bigint, v bigint")
+    A group of up to BLOCK members is one unit, in which all are compared. A larger one is cut into blocks,
+    and some leaders are put into every block; in most groups of near copies that joins nearly all members.
+    Each member that isn't joined with the largest part so found is then compared with all others, by pairs
+    of blocks: pairs within that part, which need no further link, are the only ones left out. So the work
+    grows with the members times those outside the largest part.
+    """
+    sizes = scratch.save(members.groupBy(F.col("g").alias("_g")).agg(F.count("*").alias("n"), F.min("id").alias("_first")).filter(F.col("n") > 1), "sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    counted = scratch.save(join_hot(members, "g", sizes, "_g", "n", total).select("g", "id", "n", "_first"), "counted", total)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    small = counted.filter(F.col("n") <= BLOCK).select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), "id")
+    big = counted.filter(F.col("n") > BLOCK)
+    own = big.select("g", F.lit(0).alias("i"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("j"), "id")
+    leads = (F.col("id") == F.col("_first")) | (F.pmod(F.xxhash64(F.lit("lead"), "id"), F.ceil(F.col("n") / LEADERS)) == 0)
+    everywhere = big.filter(leads).select("g", F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), "id")
+    first = scratch.save(_run(small.unionByName(own).unionByName(everywhere).distinct(), payloads, alike, percent).distinct(), "first")
+    if sizes.filter(F.col("n") > BLOCK).isEmpty():
+        return first
+    placed = connected_components(first)
+    inside = big.select("g", "id", "n").join(placed.withColumnRenamed("node", "_node"), F.col("id") == F.col("_node"), "left")
+    inside = scratch.save(inside.select("g", "id", "n", F.coalesce("component", "id").alias("part")), "inside", total)
+    main = inside.groupBy("g", "part").agg(F.count("*").alias("m")).groupBy(F.col("g").alias("_g")).agg(F.max(F.struct("m", "part"))["part"].alias("_main"), F.sum("m").alias("_all"))
+    rest = scratch.save(join_hot(inside, "g", scratch.save(main, "main", total // BLOCK), "_g", "_all", total).filter(F.col("part") != F.col("_main")).select("g", "id", "n"), "rest", total)
+    left = scratch.save(rest.groupBy(F.col("g").alias("_g")).agg(F.count("*").alias("_r"), F.max("n").alias("_all")), "left", total // BLOCK)
+    if left.isEmpty():
+        return first
+    across = F.ceil(F.col("_r") / BLOCK).cast("int")
+    i, j = F.pmod(F.xxhash64("id"), across).cast("int").alias("i"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("j")
+    alone = join_hot(rest, "g", left, "_g", "_r", total).select("g", i, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), "id")
+    others = join_hot(inside.select("g", "id", "n"), "g", left, "_g", "_all", total).select("g", F.explode(F.sequence(F.lit(0), across - 1)).alias("i"), j, "id")
+    return first.unionByName(scratch.save(_run(alone.unionByName(others).distinct(), payloads, alike, percent).distinct(), "second"))
+
+
+def _keys(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums that tell sets apart, 0 for the empty one."""
+    return (int(mix(shingles).sum().view(np.int64)), int(np.bitwise_xor.reduce(shingles).view(np.int64))) if len(shingles) else (0, 0)
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, k1, k2) to (id, k1, k2, set) of those whose set has these keys."""
     for batch in batches:
         for start, texts in utf8_chunks(batch.column(1)):
             sets = shingle_sets(words_of(texts, NON_SPACE), SHINGLE)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "payload"])
+            ids, k1, k2 = (batch.column(c).slice(start, len(sets)) for c in (0, 2, 3))
+            kept = [i for i, s in enumerate(sets) if _keys(s) == (k1[i].as_py(), k2[i].as_py())]
+            place = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.take(place), k1.take(place), k2.take(place), pa.array([sets[i].tobytes() for i in kept], pa.binary())], names=["id", "k1", "k2", "payload"])
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -208,8 +238,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A document's set holds its distinct 5-word shingles (words: runs of anything but space and
     \\t\\n\\v\\f\\r, A-Z lower-cased); with fewer words, the whole sequence. Documents are linked if
     100 * intersection >= percent * union. Null, empty and blank texts have an empty set, no link, and
-    are kept. Rows that repeat an id and a text are each returned with the same values; ids are integers,
-    and a row with a null id is its own component and kept. Empty tables give empty results; other
+    are kept. Rows that repeat an id and a text are each returned with the same values; rows that share an
+    id and differ in text each go with their own text, and where that id is the smallest of two texts'
+    classes these are linked. Ids are integers, and a row with a null id is its own component and kept. Empty tables give empty results; other
     columns are ignored.
     """
     spark = docs.sparkSession
@@ -217,36 +248,36 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     described = scratch.save(source.mapInArrow(lean(_describe), "doc_id bigint, " + _DESCRIBED), "described")
     live = described.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = scratch.save(live.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("class_id")), "classes")
-    representatives = classes.select(F.col("class_id").alias("id")).distinct()
-
-    one_each = described.groupBy(F.col("doc_id").alias("id")).agg(F.first("signature").alias("payload"))
-    banded = live.select(F.col("doc_id").alias("id"), F.explode("bands").alias("g")).join(representatives, "id", "left_semi").select("g", "id").distinct()
-    units = scratch.save(_in_blocks(_grouped(banded)), "units")
-    signed = one_each.join(units.select("id").distinct(), "id", "left_semi")
-    likely = scratch.save(_links(units, signed, _alike_signatures, percent).distinct(), "likely")
+    classes = scratch.save(live.groupBy("k1", "k2", "n_shingles").agg(
+        F.min("doc_id").alias("class_id"), F.count("*").alias("_rows"), F.min_by(F.struct("signature", "bands"), "doc_id").alias("own")
+    ).select("k1", "k2", "n_shingles", "class_id", "_rows", "own.signature", "own.bands"), "classes")
+    first = classes.select(F.col("class_id").alias("doc_id"), "k1", "k2")
+    banded = classes.select(F.col("class_id").alias("id"), F.explode("bands").alias("g")).select("g", "id")
+    signed = classes.select(F.col("class_id").alias("id"), F.col("signature").alias("payload"))
+    likely = _links(scratch, banded, signed, _alike_signatures, percent)
 
     groups = scratch.save(connected_components(likely).select(F.col("component").alias("g"), F.col("node").alias("id")), "groups")
-    texts = source.join(groups.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(lean(_sets_of), "id bigint, payload binary")
-    sets = scratch.save(texts, "sets")
-    links = scratch.save(_links(_in_blocks(_grouped(groups)), sets, _alike_sets, percent).distinct(), "links")
-    scratch.drop(units, likely, sets)
-    found = scratch.save(connected_components(links), "found")
+    wanted = first.join(groups.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "k1", "k2")
+    texts = source.join(wanted, "doc_id").select("doc_id", "text", "k1", "k2").mapInArrow(lean(_sets_of), "id bigint, k1 bigint, k2 bigint, payload binary")
+    sets = scratch.save(texts.groupBy("id", "k1", "k2").agg(F.first("payload").alias("payload")).select("id", "payload"), "sets")
+    found = scratch.save(connected_components(_links(scratch, groups, sets, _alike_sets, percent)), "found")
+    scratch.drop(sets)
 
     placed = classes.join(found, F.col("class_id") == F.col("node"), "left").select(
-        F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("n_shingles").alias("_n"), "class_id", F.coalesce("component", "class_id").alias("component_id")
+        F.struct("k1", "k2", "n_shingles").alias("_class"), "class_id", F.coalesce("component", "class_id").alias("component_id"), "_rows",
     )
     placed = scratch.save(placed, "placed")
-    return described.select("doc_id", "n_shingles", "k1", "k2").join(
-        placed,
-        (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("n_shingles") == F.col("_n")) & F.col("doc_id").isNotNull(), "left",
-    ).select(
-        "doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
-    )
+    keyed = described.select("doc_id", "n_shingles", F.struct("k1", "k2", "n_shingles").alias("_key"))
+    alive = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    joined = join_hot(keyed.filter(alive), "_key", placed, "_class", "_rows", described.count()).select("doc_id", "n_shingles", "class_id", "component_id")
+    alone = keyed.filter(~alive).select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    return joined.unionByName(alone).select("*", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """The documents that near_duplicates keeps: one of each component, with docs' columns."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    """The documents that near_duplicates keeps: one of each component, with docs' columns. Rows that share an id
+    go together: they stay if one of them is kept."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent)
+    name = fresh("_gone", docs)
+    gone = found.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(name)).agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select(name)
+    return docs.join(gone, docs[id_col].cast("long") == F.col(name), "left_anti")

@@ -12,12 +12,40 @@ from collections.abc import Callable, Iterator
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Of all rows that a join deals out by a key, the share of one key beyond which its rows are not shuffled.
+HOT_SHARE, HOT_LEAST = 500, 200
+#: Rows of a narrow table that go to one file.
+ROWS_A_FILE = 50_000
+
+
+def fresh(label: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, whatever its case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while label.lower() in taken:
+        label += "_"
+    return label
+
+
+def join_hot(rows: DataFrame, key: str, table: DataFrame, table_key: str, weight: str, total: int) -> DataFrame:
+    """Inner join of rows with a table of one row a key, whose column weight says how many rows have it.
+
+    Keys with over a 500th of all rows (total) are at most 500; their rows of the table are broadcast, so
+    that no task gathers a hot key, and the other keys are joined by a shuffle."""
+    bar = max(HOT_LEAST, total // HOT_SHARE)
+    hot, others = table.filter(F.col(weight) > bar), table.filter(F.col(weight) <= bar)
+    hot = F.broadcast(hot)
+    on = lambda t: rows[key] == t[table_key]
+    return rows.join(hot, on(hot)).unionByName(rows.join(hot, on(hot), "left_anti").join(others, on(others)))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), an own one is set."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests on one machine), an own one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,9 +61,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.n = spark, new_path(spark, label), 0
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
+        """rows: about how many there are at most, where that is known; they go to a file for each ROWS_A_FILE."""
         self.n += 1
         path = f"{self.root}/{name}-{self.n}"
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

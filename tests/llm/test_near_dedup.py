@@ -88,3 +88,21 @@ def test_exact_sizes_in_slices():
     sets = [np.unique(rng.integers(0, 300, 200).astype(np.uint64)) for _ in range(9)]
     want = [[100 * len(set(a) & set(b)) >= 40 * len(set(a) | set(b)) for b in sets] for a in sets]
     assert nd._alike_sets(np.arange(9), [s.tobytes() for s in sets], 40).tolist() == want
+
+
+def test_one_group_of_many_near_copies(spark):
+    """5 000 variants of a text, of which few are near the smallest id's, and a chain that leads away from it."""
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join([f"v{k}", *base, f"z{k}"]) for k in range(5000)]
+    step = [" ".join(f"w{i}" for i in range(k, 80 + k)) for k in range(60)]  # each near the next only
+    far = [" ".join(f"u{k}-{i}" for i in range(40)) for k in range(50)]
+    docs = spark.createDataFrame(list(enumerate([*step, *texts, *far])), "doc_id long, text string")
+    rows = {r.doc_id: r.component_id for r in nd.near_duplicates(docs).collect()}
+    assert [rows[i] for i in range(5060)] == [0] * 5060 and all(rows[i] == i for i in range(5060, 5110))
+
+
+def test_clashing_names_and_shared_ids(spark):
+    long = " ".join(f"a{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, long, 0, 1), (2, long, 0, 2), (2, "other text", 0, 3), (3, long + " more", 0, 4), (None, long, 0, 5)], "doc_id long, text string, _gone int, kept int")
+    got = nd.drop_near_duplicates(docs)
+    assert got.columns == docs.columns and sorted(r.kept for r in got.collect()) == [1, 2, 3, 5]

@@ -1,8 +1,12 @@
 """Quality classifier learned from trusted positives and unlabelled web text.
 
-A small network minimises the non-negative unbiased risk of positive-unlabelled learning:
-prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]), with the logistic loss l. The class prior
-is estimated from the labelled sample. Features are computed from each whole text's bytes and words.
+The non-negative unbiased risk of positive-unlabelled learning is minimised,
+prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]), with the squared loss l(z) = (1 - z)^2 and g
+linear in a fixed basis: numbers that describe a text's bytes and words, hashed words and character
+trigrams, and random hidden units of the former. With that loss the risk needs of the unlabelled rows
+only the basis' sums and sums of products, so it is taken over all of them, however many there are: each
+task adds up its rows, and the driver holds one matrix of the basis' size. The class prior is estimated
+for the unlabelled rows from their mean, between those of labelled positives and negatives.
 """
 
 from __future__ import annotations
@@ -12,19 +16,24 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import Scratch, lean
-from .textvec import NON_SPACE, Words, utf8_chunks, words_of
+from .textvec import NON_SPACE, Words, mix, utf8_chunks, words_of
 
 #: Text described at once.
 LOT_BYTES = 1 << 19
-#: Bounds of the training sample: labelled rows and unlabelled rows, of least hash.
-LABELLED, UNLABELLED = 20_000, 40_000
-HIDDEN, STEPS, BATCH, RATE, DECAY, SEED = 32, 2000, 512, 3e-3, 1e-4, 9
+#: Bound of the sample of labelled rows, those of least hash; the parameter max_labelled.
+LABELLED = 20_000
+HIDDEN, STEPS, RATE, SEED = 128, 1500, 0.02, 9
+#: Weight of the squared coefficients, and the rows that a prior of them is worth.
+RIDGE, DOUBT = 2e-3, 30
 #: Step of the ascent taken while the estimated negative risk is below zero.
 ASCENT = 1.0
+#: Buckets of hashed words and of hashed trigrams of bytes.
+WORDS, TRIGRAMS = 128, 128
 _BYTES = np.zeros(256, dtype=np.int64)  # class of each lower-cased byte
 for _class, _members in enumerate(
     [b"abcdefghijklmnopqrstuvwxyz", b"0123456789", bytes(range(128, 256)), b" ", b"\n", b"\t\v\f\r", *[bytes([b]) for b in b".,;:!?'\"-_/\\|()[]{}<>@#$%^&*+=~`"]], start=1
@@ -33,7 +42,8 @@ for _class, _members in enumerate(
         _BYTES[_b] = _class
 CLASSES = int(_BYTES.max()) + 1
 _SPACE = int(_BYTES[32])
-N_FEATURES = CLASSES + 16
+N_DENSE = CLASSES + 16
+N_FEATURES = N_DENSE + WORDS + TRIGRAMS
 
 
 def _shares(words: Words, key: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -81,59 +91,124 @@ def features(texts: list) -> np.ndarray:
         ],
         axis=1,
     )
-    out = np.concatenate([np.sqrt(np.maximum(0, counts) / per_byte), extra], axis=1)
+    out = np.concatenate([np.sqrt(np.maximum(0, counts) / per_byte), extra, _hashed(words, owner, sizes, n)], axis=1)
     out[sizes == 0] = 0
     return out.astype(np.float32)
 
 
+def _hashed(words: Words, owner: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    """Signed counts of words and of trigrams of lower-cased bytes in buckets, over the root of their number, cut at 1."""
+    out = []
+    grams = words.buffer.astype(np.uint64)
+    grams = mix(grams[:-2] << np.uint64(16) | grams[1:-1] << np.uint64(8) | grams[2:]) if len(grams) > 2 else np.empty(0, np.uint64)
+    inside = owner[:-2] == owner[2:] if len(owner) > 2 else np.empty(0, bool)
+    inside &= (np.arange(len(inside)) + 2 < (np.cumsum(sizes + 1) - 1)[owner[: len(inside)]]) if len(inside) else inside
+    for keys, of, buckets in ((words.hashes, words.text, WORDS), (grams[inside], owner[: len(inside)][inside], TRIGRAMS)):
+        place = of * buckets + (keys >> np.uint64(40)).astype(np.int64) % buckets
+        sign = np.where(keys & np.uint64(1), 1.0, -1.0)
+        sums = np.bincount(place, weights=sign, minlength=n * buckets).reshape(n, buckets)
+        many = np.maximum(1, np.bincount(of, minlength=n))[:, None]
+        out.append(np.sign(sums) * np.sqrt(np.abs(sums) / many))
+    return np.concatenate(out, axis=1)
+
+
 class Model(NamedTuple):
     shift: np.ndarray
     scale: np.ndarray
     w1: np.ndarray
     b1: np.ndarray
-    w2: np.ndarray
-    b2: np.ndarray
+    weights: np.ndarray
     prior: float
 
+    def basis(self, x: np.ndarray) -> np.ndarray:
+        """1, the standardised features, and hidden units of the dense ones."""
+        z = np.clip((x - self.shift) / self.scale, -4, 4)
+        return np.concatenate([np.ones((len(z), 1)), z, np.tanh(z[:, : len(self.w1)] @ self.w1 + self.b1)], axis=1)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of the positive class."""
-        z = np.clip((x - self.shift) / self.scale, -8, 8)
-        g = np.tanh(z @ self.w1 + self.b1) @ self.w2 + self.b2
-        return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+        g = self.basis(x) @ self.weights
+        return 1 / (1 + np.exp(-np.clip(4 * g, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Adam on the non-negative risk; without positives or unlabelled rows every score is the prior."""
-    d = positive.shape[1]
+class Sums(NamedTuple):
+    """Of rows of a basis: how many, their sum, and the sum of their products."""
+
+    n: float
+    first: np.ndarray
+    second: np.ndarray
+
+
+def sums_of(basis: np.ndarray) -> Sums:
+    return Sums(float(len(basis)), basis.sum(axis=0), basis.T @ basis)
+
+
+def blank_model(sample: np.ndarray, dense: int | None = None) -> Model:
+    """A model without weights, standardised by a sample; hidden units see the first ``dense`` features."""
+    d = sample.shape[1]
     rng = np.random.default_rng(SEED)
+    shift, scale = (sample.mean(axis=0), sample.std(axis=0) + 1e-2) if len(sample) else (np.zeros(d), np.ones(d))
+    dense = d if dense is None else dense
+    return Model(shift, scale, rng.normal(0, 1.5 / np.sqrt(dense), (dense, HIDDEN)), rng.uniform(-1, 1, HIDDEN), np.zeros(1 + d + HIDDEN), 0.5)
+
+
+def minimise(positive: Sums, unlabelled: Sums, prior: float, ridge: float = RIDGE) -> np.ndarray:
+    """Weights of the least non-negative risk, from sums alone. Its steps are conditioned by the unlabelled rows' products."""
+    a_u, b_u = unlabelled.second / unlabelled.n, unlabelled.first / unlabelled.n
+    a_p, b_p = positive.second / positive.n, positive.first / positive.n
+    d = len(b_u)
+    ridge = (ridge + DOUBT / positive.n * 1e-2) * np.eye(d)
+    ridge[0, 0] = 0
+    ahead = np.linalg.inv(a_u + prior * a_p + ridge + 1e-6 * np.eye(d))
+    w, best, least = np.zeros(d), np.zeros(d), np.inf
+    for step in range(STEPS):
+        # risks: E_p[(1 - g)^2], and E_u[(1 + g)^2] - prior * E_p[(1 + g)^2]
+        pa, pb, ua, ub = a_p @ w, b_p @ w, a_u @ w, b_u @ w
+        negative = (1 + 2 * ub + w @ ua) - prior * (1 + 2 * pb + w @ pa)
+        risk = prior * (1 - 2 * pb + w @ pa) + max(0.0, negative) + w @ ridge @ w
+        if risk < least:
+            least, best = risk, w
+        grad_negative = 2 * (b_u + ua) - 2 * prior * (b_p + pa)
+        grad = 2 * prior * (pa - b_p) + grad_negative + 2 * ridge @ w if negative >= 0 else -ASCENT * grad_negative
+        w = w - RATE * (1 - step / STEPS) * 5 * (ahead @ grad)
+    return best
+
+
+def estimated_prior(unlabelled: Sums, positive: np.ndarray, negative: np.ndarray, otherwise: float, ridge: float = 0.05) -> float:
+    """Share of positives among the unlabelled rows: where their mean lies between the labelled classes' means.
+
+    Half of the labelled rows choose the direction that parts the classes, in the metric of the unlabelled
+    rows, the other half tell the means along it, and the other way round. With few labelled rows, or
+    classes that no direction parts, the share of labelled rows, ``otherwise``, is kept or drawn near."""
+    if min(len(positive), len(negative)) < 20:
+        return otherwise
+    mean = unlabelled.first / unlabelled.n
+    metric = unlabelled.second / unlabelled.n - np.outer(mean, mean) + ridge * np.eye(len(mean))
+    shares = []
+    for half in (0, 1):
+        p, q, own_p, own_q = positive[half::2], negative[half::2], positive[1 - half :: 2], negative[1 - half :: 2]
+        way = np.linalg.solve(metric, p.mean(axis=0) - q.mean(axis=0))
+        top, low = own_p @ way, own_q @ way
+        if top.mean() - low.mean() > 0.5 * (top.std() + low.std()):
+            shares.append((mean @ way - low.mean()) / (top.mean() - low.mean()))
+    if not shares:
+        return otherwise
+    n = min(len(positive), len(negative))
+    return float(np.clip((n * np.mean(shares) + DOUBT * otherwise) / (n + DOUBT), 0.02, 0.98))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+    """A model of plain arrays; without positives or unlabelled rows every score is the prior."""
     if not len(positive) or not len(unlabelled):
-        g = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
-        return Model(np.zeros(d), np.ones(d), np.zeros((d, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.array(g), prior)
-    shift, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
-    positive, unlabelled = (np.clip((x - shift) / scale, -8, 8) for x in (positive, unlabelled))
-    w = [rng.normal(0, 1 / np.sqrt(d), (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(())]
-    m, v = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w]
-    sigma = lambda g: 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-    for step in range(1, STEPS + 1):
-        p = positive[rng.integers(0, len(positive), BATCH)]
-        u = unlabelled[rng.integers(0, len(unlabelled), BATCH)]
-        x = np.concatenate([p, u])
-        h = np.tanh(x @ w[0] + w[1])
-        g = h @ w[2] + w[3]
-        gp, gu = g[:BATCH], g[BATCH:]
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        if negative >= 0:
-            dg = np.concatenate([prior * (sigma(gp) - 1) - prior * sigma(gp), sigma(gu)]) / BATCH
-        else:
-            dg = ASCENT * np.concatenate([prior * sigma(gp), -sigma(gu)]) / BATCH
-        dh = dg[:, None] * w[2] * (1 - h**2)
-        grads = [x.T @ dh + DECAY * w[0], dh.sum(axis=0), h.T @ dg + DECAY * w[2], dg.sum()]
-        rate = RATE * (1 - step / (STEPS + 1))
-        for k, grad in enumerate(grads):
-            m[k] = 0.9 * m[k] + 0.1 * grad
-            v[k] = 0.999 * v[k] + 0.001 * grad**2
-            w[k] = w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    return Model(shift, scale, *w, prior)
+        return constant(positive.shape[1], prior)
+    model = blank_model(unlabelled)
+    return model._replace(weights=minimise(sums_of(model.basis(positive)), sums_of(model.basis(unlabelled)), prior), prior=prior)
+
+
+def constant(d: int, prior: float) -> Model:
+    model = blank_model(np.zeros((0, d)))
+    model.weights[0] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)) / 4
+    return model._replace(prior=prior)
 
 
 def held_out(id_col: Column) -> Column:
@@ -168,25 +243,66 @@ def _least_hashed(rows: DataFrame, bound: int, salt: str) -> DataFrame:
     return rows.filter(F.col("_o") < int(share * spread)).orderBy("_o", "doc_id").limit(bound).drop("_o")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """A model from rows that are not held out: at most LABELLED labelled rows, of which the positives
-    are trusted and the share of positives is the prior, and at most UNLABELLED rows without labels.
+def _sums(docs: DataFrame, text_col: str, model: Model, scratch: Scratch) -> Sums | None:
+    """Sums over all rows: a row of sums a task, added up by about the square root of the tasks, in a fixed order."""
+    d = len(model.weights)
+    upper = np.triu_indices(d)
 
-    Both are the rows of least hash, so that a sample doesn't depend on how rows are partitioned. The
-    ids are chosen from the id column alone; only their texts are described.
-    """
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, first, second = 0, np.zeros(d), np.zeros((d, d))
+        for batch in batches:
+            for _, texts in utf8_chunks(batch.column(0), LOT_BYTES):
+                basis = model.basis(features(texts).astype(np.float64)).astype(np.float32)
+                n, first = n + len(basis), first + basis.sum(axis=0, dtype=np.float64)
+                second += basis.T @ basis
+        if n:
+            value = np.concatenate([[float(n)], first, second[upper]])
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "sums": pa.array([value.astype("<f8").tobytes()], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, part = None, 0
+        for batch in batches:
+            for k, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(value.as_buffer(), dtype="<f8")
+                total, part = (own.copy(), k) if total is None else (total + own, part)
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "part bigint, sums binary"
+    each = scratch.save(docs.select(text_col).mapInArrow(lean(rows), kind), "sums")
+    few = max(1, int(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    added = each.repartitionByRange(few, "part").sortWithinPartitions("part").mapInArrow(lean(add), kind)
+    total = sum((np.frombuffer(r["sums"], dtype="<f8") for r in added.orderBy("part").toLocalIterator()), np.zeros(1 + d + len(upper[0])))
+    scratch.drop(each)
+    if not total[0]:
+        return None
+    second = np.zeros((d, d))
+    second[upper] = total[1 + d :]
+    return Sums(float(total[0]), total[1 : 1 + d], second + np.triu(second, 1).T)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = LABELLED) -> Model:
+    """A model from rows that are not held out. At most max_labelled labelled rows, those of least hash, are
+    described for the driver: the positives are trusted, and the means of both classes give the prior. The
+    unlabelled rows are all that are not held out, labelled ones too: their sums are taken over all."""
     scratch = Scratch(docs.sparkSession, "quality")
-    ids = docs.select(docs[id_col].alias("doc_id")).filter(~held_out(F.col("doc_id"))).distinct()
+    seen = docs.filter(~held_out(docs[id_col]))
+    ids = seen.select(docs[id_col].alias("doc_id")).distinct()
     named = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
-    labelled = _least_hashed(ids.join(named, F.col("doc_id") == F.col("_id")).select("doc_id", "_label"), LABELLED, "l")
-    some = _least_hashed(ids, UNLABELLED, "u").select(F.col("doc_id").alias("_u"), F.lit(True).alias("_some"))
-    chosen = scratch.save(labelled.join(some, F.col("doc_id") == F.col("_u"), "full").select(F.coalesce("doc_id", "_u").alias("_chosen"), "_label", "_some"), "chosen")
+    chosen = scratch.save(_least_hashed(ids.join(named, F.col("doc_id") == F.col("_id")).select("doc_id", "_label"), max_labelled, "l").select(F.col("doc_id").alias("_chosen"), "_label"), "chosen")
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     own = texts.join(chosen.select(F.col("_chosen").alias("doc_id")), "doc_id", "left_semi")
-    rows = describe(own).groupBy("doc_id").agg(F.min("x").alias("x")).join(chosen, F.col("doc_id") == F.col("_chosen")).orderBy("doc_id").select("x", "_label", "_some").collect()
-    marked = [r["_label"] == 1 for r in rows if r["_label"] is not None]
-    prior = float(np.mean(marked)) if marked else 0.5
-    return fit(_matrix([r for r in rows if r["_label"] == 1]), _matrix([r for r in rows if r["_some"]]), prior)
+    rows = describe(own).groupBy("doc_id").agg(F.min("x").alias("x")).join(chosen, F.col("doc_id") == F.col("_chosen")).orderBy("doc_id").select("x", "_label").collect()
+    share = float(np.mean([r["_label"] == 1 for r in rows])) if rows else 0.5
+    positive, negative = _matrix([r for r in rows if r["_label"] == 1]), _matrix([r for r in rows if r["_label"] != 1])
+    if not len(positive):
+        return constant(N_FEATURES, share)
+    model = blank_model(np.concatenate([positive, negative]), N_DENSE)
+    unlabelled = _sums(seen, text_col, model, scratch)
+    positive, negative = model.basis(positive), model.basis(negative)
+    dense = slice(1, 1 + N_DENSE)
+    prior = estimated_prior(Sums(unlabelled.n, unlabelled.first[dense], unlabelled.second[dense, dense]), positive[:, dense], negative[:, dense], share)
+    return model._replace(weights=minimise(sums_of(positive), unlabelled, prior), prior=prior)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

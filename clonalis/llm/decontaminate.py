@@ -23,7 +23,8 @@ from .textvec import ALNUM, utf8_chunks, words_of
 
 WINDOW = 10
 SHARD_BYTES = 2 << 20
-BLOCK_BYTES = 8 << 20  # of test text that a task holds at a time
+BLOCK_BYTES = 4 << 20  # of test text that is read at a time
+TESTS_KEPT = 4  # blocks of tests that a worker keeps
 _BITS = 20  # of a position in a shard
 _DROP = np.uint64(64 - 44)
 
@@ -97,7 +98,9 @@ class Tests(NamedTuple):
 
     by_length: list[tuple[np.ndarray, np.ndarray]]  # window numbers, word hashes
     items: list[list[str]]
-    follows: np.ndarray  # w << 32 | w2 for windows that stand one word apart in an item
+    names: list[str]
+    first: np.ndarray  # window w stands at places[first[w]:first[w + 1]]
+    places: np.ndarray  # (item, word) of each
 
 
 def make_tests(ids: list[str], texts: list[bytes], window: int) -> Tests:
@@ -106,10 +109,10 @@ def make_tests(ids: list[str], texts: list[bytes], window: int) -> Tests:
     items: list[list[str]] = []
     hashes: dict[int, list[np.ndarray]] = {}
     numbers: dict[int, list[int]] = {}
-    follows = set()
+    stands: list[tuple[int, int, int]] = []
     for i, name in enumerate(ids):
         own = words.hashes[words.bounds[i] : words.bounds[i + 1]]
-        size, before = min(window, len(own)), None
+        size = min(window, len(own))
         for p in range(len(own) - size + 1 if size else 0):
             piece = own[p : p + size]
             w = number.setdefault(piece.tobytes(), len(items))
@@ -119,10 +122,10 @@ def make_tests(ids: list[str], texts: list[bytes], window: int) -> Tests:
                 numbers.setdefault(size, []).append(w)
             if name not in items[w][-1:]:
                 items[w].append(name)
-            if before is not None:
-                follows.add(before << 32 | w)
-            before = w
-    return Tests([(np.array(numbers[k]), np.array(hashes[k])) for k in sorted(hashes)], items, np.array(sorted(follows), dtype=np.int64))
+            stands.append((w, i, p))
+    table = np.array(sorted(stands), dtype=np.int64).reshape(-1, 3)
+    first = np.searchsorted(table[:, 0], np.arange(len(items) + 1))
+    return Tests([(np.array(numbers[k]), np.array(hashes[k])) for k in sorted(hashes)], items, list(ids), first, table[:, 1:])
 
 
 def _save_tests(tests: DataFrame, id_col: str, text_col: str) -> list[str]:
@@ -150,7 +153,7 @@ def _save_tests(tests: DataFrame, id_col: str, text_col: str) -> list[str]:
     return paths
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=TESTS_KEPT)
 def _load_tests(path: str, window: int) -> Tests:
     files, name = filesystem(path)
     with files.open_input_file(name) as source:
@@ -164,6 +167,7 @@ class Found(NamedTuple):
     items: dict[int, set[str]]  # by text
     spans: dict[int, list[tuple[int, int]]]  # hit word ranges by text
     longest: dict[int, tuple[int, int]]  # words of the longest verbatim match, and its first word
+    origin: dict[int, tuple[str, int]]  # the item, and the word there
 
 
 def search(texts: list, blocks, window: int) -> Found:
@@ -180,13 +184,13 @@ def search(texts: list, blocks, window: int) -> Found:
     change = np.zeros(len(full) + 1, dtype=np.int32)
     items: dict[int, set[str]] = {}
     longest: dict[int, tuple[int, int]] = {}
-    runs: dict[tuple[int, int], tuple[int, int, int]] = {}  # by block and length: the part's last window and its run
+    origin: dict[int, tuple[str, int]] = {}
+    stood: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}  # by block and length: places of windows, and which
     most = (1 << _BITS) - 1 - window
     for cut in range(0, max(1, len(full)), most):  # parts that overlap by a window less a word
         part = keys[cut : cut + most + window - 1]
         sa = suffix_array(part, window)
         for block, tests in enumerate(blocks()):
-            standing = np.full(len(part), -1, dtype=np.int64)
             for numbers, hashes in tests.by_length:
                 low, high = intervals(part, sa, _keys(hashes))
                 many = high - low
@@ -196,14 +200,15 @@ def search(texts: list, blocks, window: int) -> Found:
                 for j in range(hashes.shape[1]):
                     same &= full[at + cut + j] == hashes[which, j]
                 at, which = at[same], which[same]
-                standing[at] = numbers[which]
                 np.add.at(change, at + cut, 1)
                 np.add.at(change, at + cut + hashes.shape[1], -1)
                 for key in np.unique(owner[at + cut] * np.int64(1 << 32) + numbers[which]).tolist():
                     items.setdefault(key >> 32, set()).update(tests.items[key & 0xFFFFFFFF])
-                at = np.sort(at[at < most])  # the others are found again in the next part
-                key = block, hashes.shape[1]
-                runs[key] = _longest(longest, runs.get(key), at + cut, standing[at], hashes.shape[1], owner, first, tests)
+                once = at < most  # the others are found again in the next part
+                stood.setdefault((block, hashes.shape[1]), []).append((at[once] + cut, numbers[which[once]]))
+    for block, tests in enumerate(blocks() if any(len(a) for found in stood.values() for a, _ in found) else ()):
+        for size in (k for b, k in stood if b == block):
+            _longest(longest, origin, *(np.concatenate(x) for x in zip(*stood[block, size], strict=True)), size, owner, first, tests)
     covered = np.cumsum(change[:-1]) > 0
     n_hit = np.bincount(owner[covered], minlength=n_texts)
     spans: dict[int, list[tuple[int, int]]] = {}
@@ -211,26 +216,33 @@ def search(texts: list, blocks, window: int) -> Found:
     for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
         t = int(owner[a])
         spans.setdefault(t, []).append((a - int(first[t]), b - int(first[t])))
-    return Found(np.diff(words.bounds), n_hit, items, spans, longest)
-
-
-def _longest(longest, run, at, numbers, size, owner, first, tests) -> tuple[int, int, int] | None:
-    """Joins windows that follow each other in a document and in an item. run: the last window of the part before,
-    its number and where its run began; returns the same of this part."""
-    if not len(at):
-        return None
-    if run:
-        at, numbers = np.concatenate([[run[0]], at]), np.concatenate([[run[1]], numbers])
-    joined = (np.diff(at) == 1) & np.isin(numbers[:-1] << 32 | numbers[1:], tests.follows)
-    starts = np.flatnonzero(np.concatenate([[True], ~joined]))
-    begins, ends = at[starts], at[np.append(starts[1:], len(at)) - 1] + size
-    if run:
-        begins[0] = run[2]
-    for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
-        t = int(owner[a])
-        if b - a > longest.get(t, (0, 0))[0]:
-            longest[t] = (b - a, a - int(first[t]))
-    return int(at[-1]), int(numbers[-1]), int(begins[-1])
+    return Found(np.diff(words.bounds), n_hit, items, spans, longest, origin)
+
+
+def _longest(longest, origin, at, numbers, size, owner, first, tests) -> None:
+    """Joins windows that stand one word apart both in a document and in one item: they lie on a diagonal, where the
+    places in both differ by the same. Each run of neighbouring windows of a document is worked on for itself."""
+    order = np.argsort(at)
+    at, numbers = at[order], numbers[order]
+    for run in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) != 1) + 1):
+        if not len(run):
+            continue
+        t = int(owner[at[run[0]]])
+        if len(run) + size - 1 <= longest.get(t, (0,))[0]:
+            continue
+        many = np.diff(tests.first)[numbers[run]]
+        here = np.repeat(at[run], many)
+        rows = np.repeat(tests.first[numbers[run]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        item, word = tests.places[rows].T
+        order = np.lexsort((here, here - word, item))
+        here, item, word = here[order], item[order], word[order]
+        cut = np.flatnonzero((np.diff(here) != 1) | (np.diff(item) != 0) | (np.diff(here - word) != 0)) + 1
+        starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(here)]])
+        k = int(np.argmax(ends - starts))
+        length = int(ends[k] - starts[k]) + size - 1
+        if length > longest.get(t, (0,))[0]:
+            k = int(starts[k])
+            longest[t], origin[t] = (length, int(here[k] - first[t])), (tests.names[int(item[k])], int(word[k]))
 
 
 def _found_in(batch: pa.RecordBatch, text_col: str, paths: list[str], window: int) -> Iterator[tuple[int, Found]]:
@@ -247,19 +259,20 @@ def find_contamination(
 ) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside occurrences of test windows), n_items,
     items_sha256 (of the item ids with occurrences, sorted as strings, comma-joined), contaminated,
-    spans (word ranges hit), longest_match (words of the longest verbatim match) and longest_start.
+    spans (word ranges hit), longest_match (words of the longest verbatim match with one item, if it has a
+    window at least), longest_start (its first word), longest_item and longest_item_start (where it stands).
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. A test window is
     ``window`` consecutive words of an item; an item of fewer words is one window, one of none has none.
     Null or empty texts have no words and no hits; a null item id counts as the string null; items that
     share an id count once; repeated documents each get a row; without items nothing is contaminated;
-    an empty table of documents gives no rows; other columns are ignored. A longest match joins
-    windows that follow each other in the document and pairwise in an item.
+    an empty table of documents gives no rows; other columns are ignored. Of equally
+    long matches the first in the document counts.
     """
     paths = _save_tests(tests, item_col, item_text_col)
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     fields = [source.schema["doc_id"]]
-    for name, kind in (("n_words", "bigint"), ("n_hit", "bigint"), ("n_items", "bigint"), ("items_sha256", "string"), ("contaminated", "boolean"), ("spans", SPANS), ("longest_match", "bigint"), ("longest_start", "bigint")):
+    for name, kind in (("n_words", "bigint"), ("n_hit", "bigint"), ("n_items", "bigint"), ("items_sha256", "string"), ("contaminated", "boolean"), ("spans", SPANS), ("longest_match", "bigint"), ("longest_start", "bigint"), ("longest_item", "string"), ("longest_item_start", "bigint")):
         fields.append(T.StructField(name, T._parse_datatype_string(kind)))
     schema = T.StructType(fields)
 
@@ -279,6 +292,7 @@ def find_contamination(
                         pa.array([[{"start": a, "end": b} for a, b in f.spans.get(i, ())] for i in range(n)], span),
                         pa.array([f.longest.get(i, (0, 0))[0] for i in range(n)], pa.int64()),
                         pa.array([f.longest[i][1] if i in f.longest else None for i in range(n)], pa.int64()),
+                        *(pa.array([f.origin[i][k] if i in f.origin else None for i in range(n)], kind) for k, kind in ((0, pa.string()), (1, pa.int64()))),
                     ],
                     names=schema.names,
                 )

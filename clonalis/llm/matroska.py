@@ -360,10 +360,13 @@ def payload(data: bytes, packets: Packets, track: int = 1) -> bytes:
 def digests(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media", size_col: str = "n_bytes") -> DataFrame:
     """Per media value: doc_id, n_bytes (as given), payload_bytes, payload_sha256, tail_crc32 (last 16 payload bytes),
     media_bytes, media_sha256 and feature, a text of packets, blocks, clusters, cues, the duration and
-    the mean absolute difference of neighbouring samples. A damaged value raises an error."""
+    the mean absolute difference of neighbouring samples. Null media give null in all columns but the first
+    two; a damaged value raises an error; repeated rows give equal rows; an empty table gives none."""
     source = media.select(media[id_col].alias("doc_id"), media[size_col].alias("n_bytes"), media[media_col].alias("media"))
 
-    def one(data: bytes) -> tuple:
+    def one(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * 6
         found = read(data)
         back = payload(data, found)
         samples = np.frombuffer(back, dtype=np.uint8)

@@ -68,10 +68,21 @@ def mix_sources(
     words has target 0 and repeats 0; an empty table gives an empty result; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    narrow = scratch.save(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("_key"),
-    ).withColumn("_bucket", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int")))
+    narrow = scratch.save(docs.select(*_placed(docs, id_col, text_col, source_col, seed)))
+    return _decided(narrow, _plan(narrow, scratch, weights, share, cap)).select(
+        "doc_id", "source", "size", "source_size", "weight", "target", "repeats", (F.col("repeats") * F.col("size")).cast("long").alias("taken"),
+    )
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> list[Column]:
+    """doc_id, source, size, and a row's place in the seeded order with its bucket."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit("null"))))
+    bucket = F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
+    return [docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), key.alias("_key"), bucket.alias("_bucket")]
+
+
+def _plan(narrow: DataFrame, scratch: Scratch, weights: Sequence[float], share: float, cap: float) -> DataFrame:
+    """A row a source: its sums, weight and target, whole repeats, and the bucket in which the prefix ends."""
     counted = scratch.save(narrow.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum")))
     sources = water_fill(counted.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, share, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -84,26 +95,34 @@ def mix_sources(
         .filter((F.col("_cum") > F.col("_more")) & (F.col("_cum") - F.col("_sum") <= F.col("_more")) & (F.col("_sum") > 0))
         .groupBy("_s").agg(F.min(F.struct("_bucket", (F.col("_cum") - F.col("_sum")).alias("_before"))).alias("_end"))
     )
-    plan = scratch.save(sources.join(ends.select(F.col("_s"), "_end"), F.col("source").eqNullSafe(F.col("_s")), "left").select(
+    return scratch.save(sources.join(ends.select(F.col("_s"), "_end"), F.col("source").eqNullSafe(F.col("_s")), "left").select(
         F.col("source").alias("_src"), "source_size", "weight", "target", "_whole", "_more",
         F.coalesce(F.col("_end._bucket"), F.lit(BUCKETS)).alias("_last"), F.coalesce(F.col("_end._before"), F.lit(0)).alias("_before"),
     ))
-    rows = narrow.join(plan, narrow["source"].eqNullSafe(plan["_src"]))
+
+
+def _decided(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds the plan and repeats to rows with _placed's columns: by bucket, and in the last bucket by running sums."""
+    rows = rows.join(plan, rows["source"].eqNullSafe(plan["_src"]))
     at_end = rows.filter(F.col("_bucket") == F.col("_last"))
     inside = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     at_end = at_end.select("*", (F.col("_before") + F.sum("size").over(inside) - F.col("size") / 2 <= F.col("_more")).alias("_extra"))
     others = rows.filter(F.col("_bucket") != F.col("_last")).select("*", (F.col("_bucket") < F.col("_last")).alias("_extra"))
     repeats = F.when(F.col("source_size") > 0, F.col("_whole") + (F.col("_extra") & (F.col("_more") > 0)).cast("long")).otherwise(0)
-    return others.unionByName(at_end).select(
-        "doc_id", "source", "size", "source_size", "weight", "target", repeats.cast("long").alias("repeats"), (repeats * F.col("size")).cast("long").alias("taken"),
-    )
+    return others.unionByName(at_end).withColumn("repeats", repeats.cast("long"))
 
 
-def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
-    """The mix itself: each row as many times as mix_sources takes its document, with docs' columns.
+def mixed_documents(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 5,
+) -> DataFrame:
+    """The mix itself: each row as many times as mix_sources takes it, with docs' columns.
 
-    Rows that share an id are decided on together with the first's count; ids are expected to be unique."""
-    id_col = parameters.get("id_col", "doc_id")
-    counts = mix_sources(docs, **parameters).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("repeats").cast("int").alias("_mix_n"))
-    joined = docs.join(counts, docs[id_col].eqNullSafe(F.col("_mix_id"))).filter(F.col("_mix_n") > 0)
-    return joined.withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*[joined[c] for c in docs.columns])
+    Rows are decided on where they stand, by source and bucket, so nothing is joined by id: rows that
+    share an id, or have none, each have their own number. Only the rows of a source's last bucket, a
+    4096th of it, are put in order."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    placed = _placed(docs, id_col, text_col, source_col, seed)
+    plan = _plan(scratch.save(docs.select(*placed)), scratch, weights, share, cap)
+    rows = _decided(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *placed), plan).filter(F.col("repeats") > 0)
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("_row.*")

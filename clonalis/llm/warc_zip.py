@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Scratch, filesystem, new_path, write_atomically
+from .runtime import Scratch, filesystem, join_hot, new_path, write_atomically
 
 #: Payloads of fewer bytes are always stored whole.
 LEAST_SHARED = 100
@@ -285,12 +285,52 @@ def _read_record(archive: ZipReader, entry: dict) -> tuple:
     )
 
 
+def _index_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of the responses of archives, from their indexes alone."""
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            files, name = filesystem(path)
+            with files.open_input_file(name) as source:
+                archive = ZipReader(source)
+                index = archive.members["indexes/index.cdxj"]
+                lines = [json.loads(x) for x in archive.read(index.name, 0, index.size).split(b"\n")[:-1]]
+            own = [x for x in lines if x["type"] == "response"]
+            yield pa.RecordBatch.from_pydict({
+                "_digest": pa.array([x["digest"].removeprefix("sha256:") for x in own], pa.string()), "_at": pa.array([x["id"] for x in own], pa.int64()), "_path": pa.array([path] * len(own), pa.string()),
+                "_entry": pa.array([json.dumps({k: x[k] for k in ("filename", "offset", "length")}) for x in own], pa.string()),
+            })
+
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fills html by range reads of the records at _path and _entry."""
+    for batch in batches:
+        found: dict[tuple, str] = {}
+        for path, entry in sorted(set(zip(batch.column("_path").to_pylist(), batch.column("_entry").to_pylist(), strict=True))):
+            files, name = filesystem(path)
+            with files.open_input_file(name) as source:
+                found[path, entry] = _read_record(ZipReader(source), json.loads(entry))[6]
+        kept = [c for c in batch.schema.names if c not in ("_path", "_entry")]
+        texts = [found[k] for k in zip(batch.column("_path").to_pylist(), batch.column("_entry").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, "html"])
+
+
 def read_archives(archives: DataFrame, *, keep_html: bool = False) -> DataFrame:
     """Per record of the archives (column path): page_id, url, payload_bytes and payload_digest of the
     full payload (a revisit has them in its heads), record_type, refers_to, and with keep_html the
-    payload of responses. A damaged archive or a payload that does not fit its digest raises an error.
+    payload; that of a revisit is read by range from the response that it refers to, whose place comes
+    from the indexes. A damaged archive or a payload that does not fit its digest raises an error.
     """
     spark = archives.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    kinds = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + (", html string" if keep_html else "")
-    return archives.select("path").repartitionByRange(n, "path").mapInArrow(_read(keep_html), kinds)
+    paths = archives.select("path").repartitionByRange(n, "path")
+    kinds = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+    if not keep_html:
+        return paths.mapInArrow(_read(False), kinds)
+    scratch = Scratch(spark, "revisits")
+    rows = paths.mapInArrow(_read(True), kinds + ", html string")
+    revisits = scratch.save(rows.filter("record_type = 'revisit'").drop("html"), "rows")
+    often = revisits.groupBy(F.col("payload_digest").alias("_often")).agg(F.count("*").alias("_n"))
+    places = paths.mapInArrow(_index_of, "_digest string, _at bigint, _path string, _entry string")
+    places = scratch.save(places.join(often, F.col("_digest") == F.col("_often")).groupBy("_digest").agg(F.min(F.struct("_at", "_path", "_entry")).alias("_p"), F.max("_n").alias("_n")).select("_digest", "_n", "_p._path", "_p._entry"), "places")
+    found = join_hot(revisits, "payload_digest", places, "_digest", "_n", revisits.count()).select(*revisits.columns, "_path", "_entry")
+    return rows.filter("record_type <> 'revisit'").unionByName(found.mapInArrow(_fetch, kinds + ", html string"))

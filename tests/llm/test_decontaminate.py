@@ -111,3 +111,41 @@ def test_longest_match_over_parts(monkeypatch):
         monkeypatch.setattr(dc, "_BITS", bits)
         parts = dc.search(next(dc.utf8_chunks(texts))[1], lambda: iter([items]), 10)
         assert parts.longest == whole.longest and parts.items == whole.items and parts.spans == whole.spans
+
+
+def longest_common(doc, items):
+    """(length) of the longest run of doc's words that stands in one item, by brute force."""
+    best = 0
+    for item in items:
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                k = 0
+                while i + k < len(doc) and j + k < len(item) and doc[i + k] == item[j + k]:
+                    k += 1
+                best = max(best, k)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_longest_match_within_one_item(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    items = [[rng.choice("abc") + str(rng.randrange(3)) for _ in range(rng.randrange(10, 24))] for _ in range(8)]
+    items += [items[0][3:14] + items[1][:11], items[2][:6] * 4]
+    docs = []
+    for _ in range(12):
+        words = []
+        for _ in range(4):
+            own = rng.choice(items)
+            a = rng.randrange(len(own) - 8)
+            words += own[a : a + rng.randrange(8, 16)] + ["x"] * rng.randrange(2)
+        docs.append(words)
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    t = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    for r in dc.find_contamination(d, t).collect():
+        want = longest_common(docs[r.doc_id], items)
+        assert r.longest_match == (want if want >= 10 else 0)
+        if r.longest_match:
+            own = items[int(r.longest_item)][r.longest_item_start :][: r.longest_match]
+            assert docs[r.doc_id][r.longest_start :][: r.longest_match] == own

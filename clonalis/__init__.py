@@ -1 +1,3 @@
 """Lineage-barcode analytics on Spark DataFrames."""
+
+__version__ = "0.2.0"

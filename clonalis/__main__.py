@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import shutil
 import sys
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import __version__
 from .functions.alignments import detect_span, read_alignments
 from .materialize import materialize
 from .plans import pipelines
@@ -20,7 +22,10 @@ class CommandError(Exception):
 
 
 def parser() -> argparse.ArgumentParser:
+    # fixed values: the names of commands and options are an interface
     top = argparse.ArgumentParser(prog="clonalis", description=__doc__)
+    top.add_argument("--version", action="version", version=f"clonalis {__version__}")
+    top.add_argument("--debug", action="store_true", help="tell of Spark's work, and show errors in full")
     commands = top.add_subparsers(dest="command", required=True)
     for name, text in (("run10x", "droplet reads"), ("smartseq3", "full-length reads with UMIs"), ("smartseq2", "full-length reads without UMIs")):
         p = commands.add_parser(name, help=f"{text} to clones")
@@ -159,17 +164,24 @@ def quality(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.plot_hamming_distance:
         tables["hamming_distance"] = pipelines.qc.hamming_histogram(corrected)
     if a.plot_jaccard_matrix:
-        tables["jaccard"] = pipelines.qc.jaccard_pairs(filtered)
+        tables["jaccard"] = pipelines.qc.jaccard_matrix(filtered)
+        order = pipelines.qc.matrix_order(tables["jaccard"])
+        tables["jaccard_order"] = spark.createDataFrame(list(enumerate(order)), "place long, cell_id string")
     for name, table in tables.items():
         table.coalesce(1).write.mode("overwrite").csv(at(f"quality/{name}"), header=True)
 
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    logging.basicConfig(level=logging.DEBUG if a.debug else logging.INFO, format="%(levelname)s: %(message)s")
+    logging.getLogger("py4j").setLevel(logging.WARNING)
     spark = SparkSession.builder.appName("clonalis").getOrCreate()
+    spark.sparkContext.setLogLevel("INFO" if a.debug else "WARN")
     try:
         (quality if a.command == "qc" else run)(spark, a)
     except (CommandError, layouts.LayoutError) as e:
+        if a.debug:
+            raise
         print(f"error: {e}", file=sys.stderr)
         return 1
     return 0

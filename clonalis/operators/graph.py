@@ -117,6 +117,11 @@ def induced_subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("node_id", "u"), "u", "left_semi").join(ids.withColumnRenamed("node_id", "v"), "v", "left_semi").select("u", "v")
 
 
+def count_edges(edges: DataFrame) -> DataFrame:
+    """(n_edges): edges, each once whichever way it is given; self-loops don't count."""
+    return edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().agg(F.count("*").alias("n_edges"))
+
+
 def components(graph: CellGraph) -> DataFrame:
     """(node_id, component); a node without edges is one of its own."""
     found = connected_components(graph.edges)

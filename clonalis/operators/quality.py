@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
@@ -48,6 +48,11 @@ def summary(df: DataFrame, value: str) -> DataFrame:
     return t.select("n", "mean", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "n_equal_one")
 
 
+def full_length_share(molecules: DataFrame, width: int = 30) -> DataFrame:
+    """(share) of molecules all of whose width positions are known."""
+    return molecules.agg(F.avg((sq.known_length(F.col("clone_id")) == width).cast("int")).alias("share"))
+
+
 def jaccard_pairs(cells: DataFrame) -> DataFrame:
     """(cell_a, cell_b, jaccard) of cells a < b that share a cloneID. All other pairs have 0: a matrix of
     them all would grow with the square of the cells."""
@@ -58,6 +63,78 @@ def jaccard_pairs(cells: DataFrame) -> DataFrame:
     return t.select("cell_a", "cell_b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard"))
 
 
+def jaccard_matrix(cells: DataFrame) -> DataFrame:
+    """(cell_a, cell_b, jaccard): the symmetric matrix of all cells in sparse form. The diagonal is 1, both halves
+    are there, and a pair that is absent is 0: cells here hold a cloneID each, so that no pair is 0/0 (NaN)."""
+    pairs = jaccard_pairs(cells)
+    turned = pairs.select(F.col("cell_b").alias("cell_a"), F.col("cell_a").alias("cell_b"), "jaccard")
+    own = cells.select(F.col("cell_id").alias("cell_a")).distinct().select("cell_a", F.col("cell_a").alias("cell_b"), F.lit(1.0).alias("jaccard"))
+    return pairs.unionByName(turned).unionByName(own)
+
+
+def vector_jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays of booleans of equal length; without any true the quotient 0/0 is NaN."""
+    pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
+    either = F.size(F.filter(pairs, lambda p: p["a"] | p["b"]))
+    return F.when(either == 0, F.lit(float("nan"))).otherwise(F.size(F.filter(pairs, lambda p: p["a"] & p["b"])) / either)
+
+
+def matrix_order(matrix: DataFrame) -> list[str]:
+    """Cells of a sparse matrix in an order that brings its entries near the diagonal, for drawings: each part is
+    walked from a cell of least degree, neighbours by degree and name, and the whole order is turned round. A
+    drawing has all cells side by side, so the pairs are streamed to the driver."""
+    near: dict[str, set[str]] = {}
+    for r in matrix.filter("jaccard > 0").toLocalIterator():
+        near.setdefault(r["cell_a"], set()).add(r["cell_b"])
+        near.setdefault(r["cell_b"], set()).add(r["cell_a"])
+    by_degree = lambda names: sorted(names, key=lambda n: (len(near[n]), n))
+    out, seen = [], set()
+    for start in by_degree(near):
+        if start in seen:
+            continue
+        seen.add(start)
+        walk = [start]
+        for cell in walk:
+            fresh = by_degree(near[cell] - seen)
+            seen.update(fresh)
+            walk += fresh
+        out += walk
+    return out[::-1]
+
+
+def trimmed_overlap(pairs: DataFrame) -> DataFrame:
+    """Adds s, t and distance to pairs (u, v): the parts of two IDs that overlap, and their Hamming distance.
+
+    Where either ID has an unknown position, unknown ends are cut in turn: u's left end, v to u's length from
+    the right, v's left end, u to v's length from the right, and the same for the right ends. Unknown positions
+    that are left count as characters."""
+    gaps = F.lit("-0")
+    last = lambda x, n: F.when(n == 0, x).otherwise(F.right(x, n))
+    t = pairs.select("*", F.col("u").alias("s"), F.col("v").alias("t"), (~sq.is_full(F.col("u")) | ~sq.is_full(F.col("v"))).alias("_cut"))
+    steps = [
+        ("s", F.ltrim("s", gaps)), ("t", last(F.col("t"), F.length("s"))), ("t", F.ltrim("t", gaps)), ("s", last(F.col("s"), F.length("t"))),
+        ("s", F.rtrim("s", gaps)), ("t", F.left("t", F.length("s"))), ("t", F.rtrim("t", gaps)), ("s", F.left("s", F.length("t"))),
+    ]
+    for name, value in steps:
+        t = t.withColumn(name, F.when(F.col("_cut"), value).otherwise(F.col(name)))
+    return t.withColumn("distance", sq.hamming(F.col("s"), F.col("t"))).drop("_cut")
+
+
+def simulated_ids(spark: SparkSession, n: int, width: int = 30, seed: int = 1) -> DataFrame:
+    """(clone_id): n distinct random IDs. The i-th draw comes from md5 digests of seed and i; draws are repeated
+    with a longer range until n are distinct, and the first n by draw are taken."""
+    if n > 4**width:
+        raise ValueError("there are not so many IDs of this width")
+    digits = F.concat(*[F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"), F.lit(f"-{k}"))) for k in range(-(-width // 32))])
+    draws = n
+    while True:
+        t = spark.range(draws).select("id", F.translate(F.substring(digits, 1, width), "0123456789abcdef", "ACGT" * 4).alias("clone_id"))
+        first = t.groupBy("clone_id").agg(F.min("id").alias("id"))
+        if first.count() >= n:
+            return first.select("clone_id", F.row_number().over(Window.orderBy("id")).alias("k")).filter(F.col("k") <= n).select("clone_id") if draws > n else first.select("clone_id")
+        draws *= 2
+
+
 def hamming_histogram(molecules: DataFrame) -> DataFrame:
     """(distance, n_pairs) over all pairs of distinct full cloneIDs. It is a table of all pairs by its
     definition: the distinct IDs are packed into bits and dealt into blocks, each pair of blocks is a key

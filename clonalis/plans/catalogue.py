@@ -206,14 +206,6 @@ def umi_matrix_long(spark, sf):
     return _filtered(spark, sf).select("clone_id", "cell_id", "count")
 
 
-_FEW = "cell_id IN ('CELL000003', 'CELL000004', 'CELL000005')"
-
-
-@_query(o.CELLS, "SELECT clone_id, " + ", ".join(f"CAST(sum(CASE WHEN cell_id = 'CELL00000{k}' THEN count ELSE 0 END) AS BIGINT) AS CELL00000{k}" for k in (3, 4, 5)) + f" FROM cells WHERE {_FEW} GROUP BY clone_id")
-def umi_matrix_pivot(spark, sf):
-    return cl.count_matrix(_cells(spark, sf).filter(_FEW))
-
-
 def umi_matrix_all_cells(spark, sf):
     """The matrix over all filtered cells; without SQL, since its columns are the cells of the input."""
     return cl.count_matrix(materialize(_filtered(spark, sf)))
@@ -297,7 +289,7 @@ def doublets(spark, sf):
     return gone["doublets_1"].select(F.lit(1).alias("round"), F.col("node_id").alias("cell_id")).unionByName(gone["doublets_2"].select(F.lit(2).alias("round"), F.col("node_id").alias("cell_id")))
 
 
-_VALUES = "(VALUES ('A','B'),('B','C'),('A','D'),('D','B'),('B','E'),('F','G')) t(u, v)"
+_VALUES = "(VALUES ('K','L'),('L','M'),('M','K'),('M','N'),('N','P'),('P','Q'),('Q','N'),('R','S'),('T','S')) t(u, v)"
 
 
 @_query([("e9", f"SELECT least(u, v) AS u, greatest(u, v) AS v FROM {_VALUES}"), ("sym9", "SELECT u, v FROM e9 UNION ALL SELECT v, u FROM e9"), ("near9", "SELECT u || chr(9) || v AS id FROM sym9"),
@@ -363,21 +355,70 @@ def jaccard_pairs(spark, sf):
     return qc.jaccard_pairs(materialize(_filtered(spark, sf)))
 
 
+_SPARSE = "SELECT a.cell_id AS cell_a, b.cell_id AS cell_b, count(*) / CAST(any_value(a.n) + any_value(b.n) - count(*) AS DOUBLE) AS jaccard FROM held2 a JOIN held2 b ON a.clone_id = b.clone_id GROUP BY ALL"
+
+
+@_query([*o.CELLS, ("held2", "SELECT *, count(*) OVER (PARTITION BY cell_id) AS n FROM filtered")], _SPARSE)
+def jaccard_matrix(spark, sf):
+    return qc.jaccard_matrix(materialize(_filtered(spark, sf)))
+
+
+_CUT = [
+    ("o0", "SELECT u, v, u AS s, v AS t, regexp_matches(u, '[-0]') OR regexp_matches(v, '[-0]') AS cut FROM pairs"),
+    ("o1", "SELECT u, v, cut, CASE WHEN cut THEN ltrim(s, '-0') ELSE s END AS s, t FROM o0"),
+    ("o2", "SELECT u, v, cut, s, CASE WHEN cut THEN ltrim(CASE WHEN length(s) = 0 THEN t ELSE right(t, length(s)) END, '-0') ELSE t END AS t FROM o1"),
+    ("o3", "SELECT u, v, cut, CASE WHEN cut THEN rtrim(CASE WHEN length(t) = 0 THEN s ELSE right(s, length(t)) END, '-0') ELSE s END AS s, t FROM o2"),
+    ("o4", "SELECT u, v, cut, s, CASE WHEN cut THEN rtrim(left(t, length(s)), '-0') ELSE t END AS t FROM o3"),
+    ("o5", "SELECT u, v, CASE WHEN cut THEN left(s, length(t)) ELSE s END AS s, t FROM o4"),
+]
+
+
+@_query([*o.CORRECTION, *_CUT], "SELECT u, v, s, t, CAST(hamming(s, t) AS BIGINT) AS distance FROM o5")
+def overlap_distance(spark, sf):
+    return qc.trimmed_overlap(materialize(ml.similar_pairs(materialize(_plain(spark, sf)), 20, 5)))
+
+
+_DRAWN = "SELECT translate(substr(md5('7-' || CAST(i AS VARCHAR) || '-0'), 1, 30), '0123456789abcdef', 'ACGTACGTACGTACGT') AS id FROM range(2000) r(i)"
+
+
+@_query([("drawn", _DRAWN)], "SELECT CAST(hamming(a.id, b.id) AS BIGINT) AS distance, count(*) AS n_pairs FROM drawn a JOIN drawn b ON a.id < b.id GROUP BY ALL")
+def simulated_hamming_histogram(spark, sf):
+    return qc.hamming_histogram(materialize(qc.simulated_ids(spark, 2000, 30, 7)))
+
+
+@_query(o.MOLECULES, "SELECT avg(CAST(length(translate(clone_id, '-0', '')) = 30 AS INT)) AS share FROM molecules")
+def full_length_share(spark, sf):
+    return qc.full_length_share(_molecules(spark, sf))
+
+
+@_query(o.graph(LOOSE), "SELECT u, v FROM e0 WHERE u IN (SELECT node_id FROM nodes WHERE n = 1) AND v IN (SELECT node_id FROM nodes WHERE n = 1)")
+def induced_subgraph(spark, sf):
+    graph, _ = _graph(spark, sf, LOOSE)
+    return gr.induced_subgraph(graph.edges, graph.nodes.filter("n = 1"))
+
+
+@_query(o.graph(LOOSE), "SELECT count(*) AS n_edges FROM e0")
+def count_edges(spark, sf):
+    return gr.count_edges(gr.both_ways(_graph(spark, sf, LOOSE)[0].edges))
+
+
+@_query(o.graph(LOOSE), "SELECT node AS node_id, d AS degree FROM deg0")
+def degrees(spark, sf):
+    return gr.degrees(_graph(spark, sf, LOOSE)[0].edges)
+
+
+@_query(o.graph(DEFAULT), "SELECT clone_nr, clone_id, n_cells, printf('%.2f', clone_ids_per_cell) AS shown FROM details")
+def clone_details_text(spark, sf):
+    return _details(spark, sf, DEFAULT).select("clone_nr", "clone_id", "n_cells", F.expr("format_number(clone_ids_per_cell, '0.00')").alias("shown"))
+
+
 @_query(o.CORRECTION, "SELECT CAST(hamming(a.clone_id, b.clone_id) AS BIGINT) AS distance, count(*) AS n_pairs FROM (SELECT DISTINCT clone_id FROM corrected WHERE NOT regexp_matches(clone_id, '[-0]')) a JOIN (SELECT DISTINCT clone_id FROM corrected WHERE NOT regexp_matches(clone_id, '[-0]')) b ON a.clone_id < b.clone_id GROUP BY ALL")
 def hamming_histogram(spark, sf):
     return qc.hamming_histogram(materialize(_corrected(spark, sf).select("clone_id").distinct()))
 
 
-@_query([], "SELECT doc_id, kmer, count(*) AS n FROM (SELECT doc_id, substr(text, CAST(i AS BIGINT), 7) AS kmer FROM documents, unnest(range(1, length(text) - 5)) r(i)) WHERE length(kmer) = 7 GROUP BY ALL HAVING count(*) > 2")
-def text_kmers(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    return docs.select("doc_id", F.explode(sq.kmers(F.col("text"), 7)).alias("kmer")).groupBy("doc_id", "kmer").agg(F.count("*").alias("n")).filter("n > 2")
-
-
+@_query([], "SELECT doc_id, kmer, count(*) AS n FROM (SELECT doc_id, substr(text, CAST(i AS BIGINT), 7) AS kmer FROM documents, unnest(range(1, length(text) - 5)) r(i)) WHERE length(kmer) = 7 GROUP BY ALL")
 def text_kmers_all(spark, sf):
-    """All k-mers with their counts; text_kmers and its SQL have those that occur more than twice."""
+    """All k-mers of the documents with their counts."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     return docs.select("doc_id", F.explode(sq.kmers(F.col("text"), 7)).alias("kmer")).groupBy("doc_id", "kmer").agg(F.count("*").alias("n"))
-
-
-QUERIES["text_kmers_all"] = text_kmers_all

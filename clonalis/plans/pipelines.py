@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import sequences as sq
 from ..materialize import materialize
 from ..operators import cells as cl
 from ..operators import clones as cn
@@ -96,5 +95,5 @@ def quality_tables(reads: DataFrame, molecules: DataFrame, corrected: DataFrame,
         out[f"clone_ids_per_cell_{name}"] = qc.histogram(qc.unique_clone_ids_per_cell(t), "n_clone_ids")
     out["clone_ids_per_clone"] = qc.histogram(qc.unique_clone_ids_per_clone(clones, filtered), "n_clone_ids")
     out["clone_sizes"] = qc.histogram(qc.clone_sizes(clones), "n_cells")
-    out["full_length_share"] = corrected.agg(F.avg((sq.known_length(F.col("clone_id")) == 30).cast("int")).alias("share"))
+    out["full_length_share"] = qc.full_length_share(corrected)
     return out

@@ -1,9 +1,9 @@
 """Text outputs. Each is one file in a fixed order, streamed row by row through the driver; tables of any
-size are better written as Parquet."""
+size are better written as Parquet. Column headers and the comment lines of components.txt are fixed values:
+other programs read these files."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -105,41 +105,51 @@ def write_doublets(path: str, rounds: list[DataFrame]) -> None:
 
 
 def drawing_tables(graph: gr.CellGraph) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node_id, n, component, penwidth) and edges (u, v, bridge, penwidth) of components of three nodes or more."""
+    """Nodes (node_id, n, component, weight) and edges (u, v, bridge, weight) of components of three nodes or more.
+
+    The weight of a node is the logarithm of its cells, that of an edge the logarithm of the pairs of cells
+    that it stands for, both as a share of the greatest in the graph."""
     placed = gr.components(graph)
-    large = placed.groupBy("component").agg(F.count("*").alias("size")).filter("size >= 3").select("component")
-    nodes = placed.join(large, "component", "left_semi").join(graph.nodes.select("node_id", "n"), "node_id")
-    across = graph.edges.join(nodes.select(F.col("node_id").alias("u"), F.col("n").alias("nu")), "u").join(nodes.select(F.col("node_id").alias("v"), F.col("n").alias("nv")), "v")
-    product = graph.edges.join(graph.nodes.select(F.col("node_id").alias("u"), F.col("n").alias("nu")), "u").join(graph.nodes.select(F.col("node_id").alias("v"), F.col("n").alias("nv")), "v").agg(F.max(F.col("nu") * F.col("nv"))).first()[0] or math.e
-    most = graph.nodes.agg(F.max("n")).first()[0] or 1
-    both = min(product, most) > 1
-    scale_edges, scale_nodes = (9 / math.log(product), 9 / math.log(most)) if both else (9.0, 9.0)
-    found = gr.bridges(graph.edges).select("u", "v", F.lit(True).alias("bridge"))
-    width = lambda scale, x: (1 + F.lit(scale) * F.log(x)).cast("int")
-    edges = across.join(found, ["u", "v"], "left").select("u", "v", F.coalesce("bridge", F.lit(False)).alias("bridge"), F.when(F.col("bridge"), 2).otherwise(width(scale_edges, F.col("nu") * F.col("nv"))).alias("penwidth"))
-    return nodes.select("node_id", "n", "component", width(scale_nodes, F.col("n")).alias("penwidth")), edges
+    drawn = placed.groupBy("component").agg(F.count("*").alias("_size")).filter("_size >= 3").select("component")
+    nodes = placed.join(drawn, "component", "left_semi").join(graph.nodes.select("node_id", "n"), "node_id").select("node_id", "n", "component", F.log(F.col("n")).alias("raw"))
+    size = nodes.select("node_id", "n")
+    ends = graph.edges.join(size.withColumnsRenamed({"node_id": "u", "n": "nu"}), "u").join(size.withColumnsRenamed({"node_id": "v", "n": "nv"}), "v")
+    edges = ends.join(gr.bridges(graph.edges).withColumn("bridge", F.lit(True)), ["u", "v"], "left").select("u", "v", F.coalesce("bridge", F.lit(False)).alias("bridge"), F.log(F.col("nu") * F.col("nv")).alias("raw"))
+
+    def scaled(t: DataFrame) -> DataFrame:
+        most = t.agg(F.max("raw")).first()[0] or 1.0
+        return t.withColumn("weight", F.round(F.col("raw") / F.lit(float(most)), 3)).drop("raw")
+
+    return scaled(nodes), scaled(edges)
 
 
 def write_dot(path: str, graph: gr.CellGraph, highlight: DataFrame | None = None, doublets: DataFrame | None = None) -> None:
-    """The graph in the language of Graphviz; it is drawn by other programs."""
+    """The graph in the language of Graphviz, a cluster a component; it is drawn by other programs. Shapes tell what
+    a node is: a double octagon a doublet, a hexagon one with highlighted cells, a circle any other."""
     nodes, edges = drawing_tables(graph)
-    marked = {r[0]: r[1] for r in graph.members.join(highlight.select("cell_id").distinct(), "cell_id").groupBy("node_id").agg(F.count("*")).collect()} if highlight is not None else {}
-    bad = {r[0] for r in doublets.select("node_id").collect()} if doublets is not None else set()
+    if highlight is not None:
+        marked = graph.members.join(highlight.select("cell_id").distinct(), "cell_id", "left_semi").groupBy("node_id").agg(F.count("*").alias("marked"))
+        nodes = nodes.join(marked, "node_id", "left")
+    else:
+        nodes = nodes.withColumn("marked", F.lit(None).cast("long"))
+    nodes = nodes.join(doublets.select("node_id").distinct().withColumn("double", F.lit(True)), "node_id", "left") if doublets is not None else nodes.withColumn("double", F.lit(None).cast("boolean"))
+    shape = F.when(F.col("double"), "doubleoctagon").when(F.col("marked") > 0, "hexagon").otherwise("circle")
 
     def lines() -> Iterable[str]:
         yield "graph g {"
-        yield "  graph [outputorder=edgesfirst];"
-        yield "  edge [color=blue];"
-        yield '  node [style=filled, fillcolor=white, fontname="Roboto"];'
-        for r in nodes.orderBy("component", "node_id").toLocalIterator():
-            fill, note = ("", "")
-            if r["node_id"] in bad:
-                fill, note = ",fillcolor=orange", " (doublet)"
-            elif r["node_id"] in marked:
-                fill, note = ",fillcolor=yellow", f" ({marked[r['node_id']]})"
-            yield f'  "{r["node_id"]}" [penwidth={r["penwidth"]}{fill},label="{r["node_id"]}\\n{r["n"]}{note}"];'
+        open_ = None
+        for r in nodes.select("*", shape.alias("shape")).orderBy("component", "node_id").toLocalIterator():
+            if r["component"] != open_:
+                if open_ is not None:
+                    yield "}"
+                open_ = r["component"]
+                yield f'subgraph "cluster {open_}" {{'
+            cells = f"{r['n']} cells" + (f", {r['marked']} marked" if r["marked"] else "")
+            yield f'"{r["node_id"]}" [shape={r["shape"]} penwidth={1 + 4 * r["weight"]:.2f} tooltip="{cells}"]'
+        if open_ is not None:
+            yield "}"
         for r in edges.orderBy("u", "v").toLocalIterator():
-            yield f'  "{r["u"]}" -- "{r["v"]}" [penwidth={r["penwidth"]}{", style=dashed, color=red" if r["bridge"] else ""}];'
+            yield f'"{r["u"]}" -- "{r["v"]}" [penwidth={1 + 4 * r["weight"]:.2f} style={"dotted" if r["bridge"] else "solid"}]'
         yield "}"
 
     write_lines(path, lines())

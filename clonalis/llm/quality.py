@@ -28,8 +28,9 @@ LOT_BYTES = 1 << 19
 #: Bound of the sample of labelled rows, those of least hash; the parameter max_labelled.
 LABELLED = 20_000
 HIDDEN, STEPS, RATE, SEED = 128, 1500, 0.02, 9
-#: Weight of the squared coefficients, and the rows that a prior of them is worth.
-RIDGE, DOUBT = 2e-3, 30
+#: Weights of the squared coefficients: of the numbers that describe a text, and of hashed features and hidden units with
+#: RIDGE_ROWS trusted positives; the latter two fall with more of them. DOUBT: labelled rows that the labelled share is worth.
+RIDGE, RIDGE_HASHED, RIDGE_HIDDEN, RIDGE_ROWS, DOUBT = 1e-2, 0.3, 0.1, 300, 30
 #: Step of the ascent taken while the estimated negative risk is below zero.
 ASCENT = 1.0
 #: Buckets of hashed words and of hashed trigrams of bytes.
@@ -152,13 +153,19 @@ def blank_model(sample: np.ndarray, dense: int | None = None) -> Model:
     return Model(shift, scale, rng.normal(0, 1.5 / np.sqrt(dense), (dense, HIDDEN)), rng.uniform(-1, 1, HIDDEN), np.zeros(1 + d + HIDDEN), 0.5)
 
 
-def minimise(positive: Sums, unlabelled: Sums, prior: float, ridge: float = RIDGE) -> np.ndarray:
+def ridges(model: Model, n_positive: float, hashed: int) -> np.ndarray:
+    """Weight of each squared coefficient of the basis, whose last features, ``hashed`` of them, are hashed."""
+    few = RIDGE_ROWS / max(1.0, n_positive)
+    dense = len(model.shift) - hashed
+    return np.concatenate([[0.0], np.full(dense, RIDGE), np.full(hashed, RIDGE_HASHED * few), np.full(HIDDEN, RIDGE_HIDDEN * few)])
+
+
+def minimise(positive: Sums, unlabelled: Sums, prior: float, ridge: np.ndarray) -> np.ndarray:
     """Weights of the least non-negative risk, from sums alone. Its steps are conditioned by the unlabelled rows' products."""
     a_u, b_u = unlabelled.second / unlabelled.n, unlabelled.first / unlabelled.n
     a_p, b_p = positive.second / positive.n, positive.first / positive.n
     d = len(b_u)
-    ridge = (ridge + DOUBT / positive.n * 1e-2) * np.eye(d)
-    ridge[0, 0] = 0
+    ridge = np.diag(ridge)
     ahead = np.linalg.inv(a_u + prior * a_p + ridge + 1e-6 * np.eye(d))
     w, best, least = np.zeros(d), np.zeros(d), np.inf
     for step in range(STEPS):
@@ -202,7 +209,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     if not len(positive) or not len(unlabelled):
         return constant(positive.shape[1], prior)
     model = blank_model(unlabelled)
-    return model._replace(weights=minimise(sums_of(model.basis(positive)), sums_of(model.basis(unlabelled)), prior), prior=prior)
+    return model._replace(weights=minimise(sums_of(model.basis(positive)), sums_of(model.basis(unlabelled)), prior, ridges(model, len(positive), 0)), prior=prior)
 
 
 def constant(d: int, prior: float) -> Model:
@@ -302,7 +309,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     positive, negative = model.basis(positive), model.basis(negative)
     dense = slice(1, 1 + N_DENSE)
     prior = estimated_prior(Sums(unlabelled.n, unlabelled.first[dense], unlabelled.second[dense, dense]), positive[:, dense], negative[:, dense], share)
-    return model._replace(weights=minimise(sums_of(positive), unlabelled, prior), prior=prior)
+    return model._replace(weights=minimise(sums_of(positive), unlabelled, prior, ridges(model, len(positive), WORDS + TRIGRAMS)), prior=prior)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

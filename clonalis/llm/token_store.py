@@ -13,6 +13,7 @@ control bytes; data bytes. ``vocab.bin`` beside the files holds uint32 ids by ra
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -96,6 +97,9 @@ _NOT_CUT = r"[\x09-\x0D\x1C-\x20] |[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028
 _IS_SPACE, _IS_LETTER, _IS_MARK = (np.isin(np.arange(256), list(members)) for members in (b" \t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"))
 #: Longer pieces are not kept.
 _LONGEST_KEPT = 64
+#: Pieces without other white space: a word after a space, and one that is not.
+_SPACED = re.compile(r" [^\s\x1c-\x1f]{1,63}")
+_PLAIN = re.compile(r"[^\s\x1c-\x1f]{1,64}")
 
 
 class _Encoder:
@@ -131,47 +135,41 @@ class _Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_joined(self, words: list[str], mark: str) -> list[bytes]:
-        """ids of words without white space, each after mark, a space or a line end: all in one call, cut where the marks are."""
-        joined = "".join([mark + w for w in words])
+    def _encode_joined(self, pieces: list[str], by_line: bool) -> list[bytes]:
+        """ids of pieces, all in one call: of a space and a word each, cut where an id begins with a space, or by_line of words alone,
+        put on lines and cut at the line ends."""
+        size = self.dtype.itemsize
+        if by_line and len(self.line_end) != size:
+            return self._encode(pieces)
+        joined = "\n" + "\n".join(pieces) if by_line else "".join(pieces)
         ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
-        data, size = ids.tobytes(), self.dtype.itemsize
-        is_line = mark == "\n"
-        if is_line and len(self.line_end) != size:
-            return self._encode(words)
-        cuts = np.flatnonzero(ids == np.frombuffer(self.line_end, self.dtype)[0] if is_line else self.opens[ids]) * size
-        if len(cuts) != len(words) or cuts[0]:
-            return self._encode(words if is_line else [mark + w for w in words])
-        skip = len(self.line_end) if is_line else 0
-        return [data[a + skip : b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(data)], strict=True)]
+        cuts = np.flatnonzero(ids == np.frombuffer(self.line_end, self.dtype)[0] if by_line else self.opens[ids]) * size
+        if len(cuts) != len(pieces) or cuts[0]:
+            return self._encode(pieces)
+        data, skip = ids.tobytes(), size if by_line else 0
+        return [data[a:b] for a, b in zip((cuts + skip).tolist(), [*cuts[1:].tolist(), len(data)], strict=True)]
 
     def _entries(self, pieces: list[str]) -> list[bytes]:
         """ids of distinct pieces; new ones without other white space go to the library many in a call."""
         if len(self.kept) > self.most:
             self.kept, self.older = {}, self.kept
-        found = list(map(self.kept.get, pieces))
-        new = [i for i, f in enumerate(found) if f is None]
-        again = [(i, f) for i in new if (f := self.older.get(pieces[i])) is not None]
-        for i, f in again:
-            found[i] = self.kept[pieces[i]] = f
-        kinds: dict[str, list[int]] = {" ": [], "\n": [], "": []}
-        for i in (i for i in new if found[i] is None) if again else new:
-            words = pieces[i].split()
-            if len(words) != 1 or len(pieces[i]) > _LONGEST_KEPT:
-                kinds[""].append(i)
-            elif words[0] == pieces[i]:
-                kinds["\n"].append(i)
-            else:
-                kinds[" " if " " + words[0] == pieces[i] else ""].append(i)
-        for mark, places in kinds.items():
-            for k in range(0, len(places), 512):
-                some = [pieces[i] for i in places[k : k + 512]]
-                ids = self._encode_joined([w.lstrip(" ") for w in some], mark) if mark else self._encode(some)
-                for i, piece, own in zip(places[k : k + 512], some, ids, strict=True):
-                    found[i] = own
-                    if len(piece) <= _LONGEST_KEPT:
-                        self.kept[piece] = own
-        return found
+        kept, older = self.kept, self.older
+        new = [p for p in pieces if p not in kept]
+        if older:
+            again = {p: f for p in new if (f := older.get(p)) is not None}
+            kept.update(again)
+            new = [p for p in new if p not in again]
+        spaced = list(filter(_SPACED.fullmatch, new))
+        plain = list(filter(_PLAIN.fullmatch, new))
+        for some, by_line in ((spaced, False), (plain, True)):
+            for k in range(0, len(some), 1024):
+                kept.update(zip(some[k : k + 1024], self._encode_joined(some[k : k + 1024], by_line), strict=True))
+        if len(spaced) + len(plain) < len(new):
+            rest = [p for p in new if p not in kept]
+            own = dict(zip(rest, self._encode(rest), strict=True))
+            kept.update((p, f) for p, f in own.items() if len(p) <= _LONGEST_KEPT)
+            return [kept[p] if p in kept else own[p] for p in pieces]
+        return list(map(kept.__getitem__, pieces))
 
     def _whole(self, texts: pa.Array) -> np.ndarray:
         """Which texts are encoded whole."""

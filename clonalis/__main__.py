@@ -6,12 +6,14 @@ import argparse
 import logging
 import shutil
 import sys
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import __version__
-from .functions.alignments import detect_span, read_alignments
+from .functions.alignments import detect_span, overlapping, read_alignments
 from .materialize import materialize
 from .plans import pipelines
 from .sources import alignment_files, dataset, layouts, lists, sinks
@@ -63,60 +65,80 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def load_sample(spark: SparkSession, path: str, a: argparse.Namespace, tag: str, require_umis: bool) -> tuple[DataFrame, tuple[int, int]]:
-    """Reads of one input, and the span, which is looked for where none is given."""
+def load_sample(spark: SparkSession, path: str, a: argparse.Namespace, tag: str, require_umis: bool, kept: Path | None = None) -> tuple[DataFrame, list[str]]:
+    """Reads of one input, and the lines of the log about it; a span that is not given is looked for.
+
+    The alignments that the reads come from are written to kept, a BAM file, if the input is BAM.
+    """
     allowed = None
     if tag == "CB" and Path(path).is_dir():
         found = layouts.find_cellranger(path, a.genome_name)
         files, allowed = [found.bam], lists.read_barcodes(spark, found.barcodes)
     else:
         files = layouts.find_bams(path, tag)
-    out = None
-    for name in files:
-        sam = name.endswith(".sam")
-        rows = alignment_files.read_sam(spark, name) if sam else alignment_files.read_bam(spark, name)
-        chromosome, length = a.chromosome, None
-        if not sam:
-            references = alignment_files.bam_references(spark, name)
-            chromosome = chromosome or references[-1][0]
-            length = dict(references).get(chromosome)
-        if chromosome is None:
-            raise CommandError("a SAM file needs --chromosome")
-        if (a.start is None) != (a.end is None):
-            raise CommandError("--start and --end go together")
-        if a.start is None:
-            span = detect_span(materialize(rows), chromosome, length or 1 << 31)
+    if (a.start is None) != (a.end is None):
+        raise CommandError("--start and --end go together")
+    notes, parts, header = [], [], None
+    for k, name in enumerate(files):
+        chromosome, length, span = a.chromosome, 1 << 31, None
+        if a.start is not None:
+            span = (a.start - 1, a.end)
+        if name.endswith(".sam"):
+            if chromosome is None:
+                raise CommandError("a SAM file needs --chromosome")
+            rows, carry = alignment_files.read_sam(spark, name), ()
+        else:
+            header = alignment_files.header_of(spark, name)
+            chromosome = chromosome or header[1][-1][0]
+            length = dict(header[1]).get(chromosome, length)
+            region = (max(0, span[0] - 10), span[1] + 10) if span else ()
+            rows, carry = alignment_files.read_bam(spark, name, chromosome, *region, keep_records=True), ("ref", "pos", "flag", "place", "record")
+        if span is None:
+            rows = materialize(rows)
+            span = detect_span(rows, chromosome, length)
             if span[1] - span[0] < 10:
                 raise CommandError("the span found is too short")
-        else:
-            span = (a.start - 1, a.end)
-        reads, _ = read_alignments(rows, chromosome, *span, allowed=allowed, require_umis=require_umis, cell_id_tag=tag)
-        out = reads if out is None else out.unionByName(reads)
-    return out, span
-
-
-def load(spark: SparkSession, a: argparse.Namespace, tag: str, require_umis: bool) -> tuple[DataFrame, tuple[int, int]]:
+        near = materialize(overlapping(rows, chromosome, *span))
+        reads, counters = read_alignments(near, chromosome, *span, allowed=allowed, require_umis=require_umis, cell_id_tag=tag, carry=carry)
+        reads, counts = materialize(reads.withColumn("_file", F.lit(k))), counters.first()
+        parts.append(reads)
+        # fixed values: the wording of the lines
+        notes.append(f"Reading cloneIDs from {chromosome}:{span[0] + 1}-{span[1]} in {name}")
+        words = f"Found {reads.count()} reads with usable cloneIDs" + (" and UMIs" if require_umis else "")
+        notes.append(f"{words}. Skipped {counts['no_cell_id']} without cell id" + (f", {counts['no_umi']} without UMI." if require_umis else ""))
+    out = reduce(DataFrame.unionByName, [p.select("cell_id", "umi", "clone_id") for p in parts])
+    stored = [p for p in parts if "record" in p.columns]
+    if kept is not None and stored:
+        alignment_files.write_bam(str(kept), reduce(DataFrame.unionByName, stored), *header, ["_file"])
+    return out, notes
+
+
+def load(spark: SparkSession, a: argparse.Namespace, tag: str, require_umis: bool) -> tuple[DataFrame, list[str]]:
+    """Reads of all inputs, and the lines of the log. Filtered alignments go to BAM files in the output folder."""
     if a.amplicon and len(a.amplicon) != len(a.path):
         raise CommandError("as many --amplicon inputs as samples are needed")
-    samples = []
+    names = [""]
+    if len(a.path) > 1:
+        names = a.samples or [Path(p).name for p in a.path]
+        if len(names) != len(a.path) or len(set(names)) != len(names):
+            raise CommandError("each sample needs a name of its own")
+    samples, notes, base = [], [], Path(a.output)
+    base.mkdir(parents=True, exist_ok=True)
     for k, path in enumerate(a.path):
-        reads, span = load_sample(spark, path, a, tag, require_umis)
+        first = f"{names[k]}_" if names[k] else ""
+        reads, lines = load_sample(spark, path, a, tag, require_umis, base / f"{first}entries.bam")
+        notes += lines
         if a.amplicon:
-            reads = reads.unionByName(load_sample(spark, a.amplicon[k], a, tag, require_umis)[0])
+            more, lines = load_sample(spark, a.amplicon[k], a, tag, require_umis, base / f"{first}amplicon_entries.bam")
+            reads, notes = reads.unionByName(more), notes + lines
         samples.append(reads)
-    if len(samples) > 1:
-        names = a.samples or [Path(p).name for p in a.path]
-        if len(names) != len(samples) or len(set(names)) != len(names):
-            raise CommandError("each sample needs a name of its own")
-        reads = dataset.merge_samples(samples, names, a.prefix)
-    else:
-        reads = samples[0]
+    reads = dataset.merge_samples(samples, names, a.prefix) if len(samples) > 1 else samples[0]
     if a.filter_cellids:
         reads = dataset.keep_cells(reads, lists.read_allowed_cells(spark, a.filter_cellids))
     reads = materialize(reads)
     if reads.isEmpty():
         raise CommandError("no reads are left")
-    return reads, span
+    return reads, notes
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -126,7 +148,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
             raise CommandError(f"{out} exists; --delete replaces it")
         shutil.rmtree(out)
     tag, require_umis = ("CB" if a.command == "run10x" else "BC"), a.command != "smartseq2"
-    reads, span = load(spark, a, tag, require_umis)
+    reads, notes = load(spark, a, tag, require_umis)
     own = {"min_length": a.min_length, "max_hamming": a.max_hamming, "jaccard_threshold": a.jaccard_threshold}
     matrix = None
     if a.command == "run10x":
@@ -143,7 +165,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         found = pipelines.run_smartseq2(reads, **own, readcount_threshold=a.readcount_threshold)
         matrix = "read_count_matrix.csv" if a.read_matrix else None
     highlight = lists.read_highlights(spark, a.highlight) if a.highlight else None
-    sinks.write_outputs(a.output, found, require_umis, matrix, highlight, with_original=a.command == "run10x")
+    sinks.write_outputs(a.output, found, require_umis, matrix, highlight, with_original=a.command == "run10x", notes=notes)
     if a.plot:
         sinks.write_dot(str(out / "graph.gv"), found["graph"], highlight)
         sinks.write_dot(str(out / "graph_corrected.gv"), found["graph_corrected"], highlight)

@@ -85,16 +85,16 @@ def extract_clone_ids(alignments: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def read_alignments(
-    alignments: DataFrame, chromosome: str, start: int, end: int, *, allowed: DataFrame | None = None, require_umis: bool = True, cell_id_tag: str = "CB",
+    alignments: DataFrame, chromosome: str, start: int, end: int, *, allowed: DataFrame | None = None, require_umis: bool = True, cell_id_tag: str = "CB", carry: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """(reads, counters): usable reads of a span, and how many alignments there had no cell id or no UMI.
 
     The allow-list is tested on the cell id as it is in the tag; with the tag CB ids end in -1, which is
-    cut off, and others are an error. An empty UMI is none. Alignment flags are not looked at.
+    cut off, and others are an error. An empty UMI is none. Alignment flags are not looked at. Reads keep the columns of carry, too.
     """
     near = overlapping(alignments, chromosome, start, end)
     cell, umi = F.col("tags").getItem(cell_id_tag), F.col("tags").getItem("UB")
-    t = near.select("pos", "cigar", "seq", cell.alias("_cell"), umi.alias("_umi"))
+    t = near.select("pos", "cigar", "seq", cell.alias("_cell"), umi.alias("_umi"), *(c for c in carry if c not in ("pos", "cigar", "seq")))
     if allowed is not None:
         t = t.join(allowed.select(F.col("cell_id").alias("_cell"), F.lit(True).alias("_listed")).distinct(), "_cell", "left")
         t = t.withColumn("_listed", F.coalesce("_listed", F.lit(False)))
@@ -109,7 +109,7 @@ def read_alignments(
     name = F.col("_cell")
     if cell_id_tag == "CB":
         name = F.when(name.endswith("-1"), F.expr("substring(_cell, 1, length(_cell) - 2)")).otherwise(F.raise_error(F.concat(F.lit("a cell id does not end in -1: "), name)))
-    reads = extract_clone_ids(kept, start, end).filter("clone_id is not null").select(name.alias("cell_id"), F.when(F.col("_umi") != "", F.col("_umi")).alias("umi"), "clone_id")
+    reads = extract_clone_ids(kept, start, end).filter("clone_id is not null").select(name.alias("cell_id"), F.when(F.col("_umi") != "", F.col("_umi")).alias("umi"), "clone_id", *carry)
     return (reads.filter("umi is not null") if require_umis else reads), counters
 
 

@@ -18,6 +18,10 @@ def _count_full(metrics: list, stage: str, df: DataFrame) -> None:
     metrics += [(stage, k, row[k]) for k in ("total", "n_full", "n_distinct_full")]
 
 
+def _count_single(metrics: list, molecules: DataFrame) -> None:
+    metrics.append(("molecules", "single_read_clone_ids", molecules.filter("read_count = 1").select("clone_id").distinct().count()))
+
+
 def _finish(found: dict, metrics: list, threshold: float, keep_doublets: bool, bridges_only: bool) -> dict:
     cells = found["cells_filtered"]
     metrics += [("cells", "n", found["cells"].select("cell_id").distinct().count()), ("cells_filtered", "n", cells.select("cell_id").distinct().count())]
@@ -55,6 +59,8 @@ def run_10x(
         kept = materialize(ml.exclude(corrected, excluded))
         _count_full(metrics, "molecules_kept", kept)
     cells = materialize(cl.compute_cells(kept, min_length))
+    if not visium:
+        _count_single(metrics, kept)
     filtered = cl.filter_visium(cells, kept) if visium else cl.filter_cells(cells, kept, not keep_single_reads, not keep_cross_contamination)
     found = {"reads": reads, "molecules": molecules, "molecules_corrected": corrected, "cells": cells, "cells_filtered": materialize(filtered)}
     return _finish(found, metrics, jaccard_threshold, keep_doublets, False)
@@ -69,6 +75,7 @@ def run_smartseq3(reads: DataFrame, *, min_length: int = 20, max_hamming: int =
     _count_full(metrics, "molecules", molecules)
     corrected = materialize(ml.correct(molecules, max_hamming, min_length))
     cells = materialize(cl.compute_cells(corrected, min_length))
+    _count_single(metrics, corrected)
     filtered = materialize(cl.filter_cells(cells, corrected, not keep_single_reads))
     found = {"reads": reads, "molecules": molecules, "molecules_corrected": corrected, "cells": cells, "cells_filtered": filtered}
     return _finish(found, metrics, jaccard_threshold, True, True)

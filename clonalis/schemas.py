@@ -6,3 +6,4 @@ ALIGNMENTS = "rname string, pos bigint, cigar string, seq string, flag int, tags
 READS = "cell_id string, umi string, clone_id string"
 MOLECULES = "cell_id string, umi string, clone_id string, read_count bigint"
 CELL_CLONES = "cell_id string, clone_id string, count bigint, ord bigint"
+RECORDS = ALIGNMENTS + ", ref int, place bigint, record binary"

@@ -5,20 +5,12 @@ Tables have rname, pos (0-based first aligned position), cigar, seq, flag and ta
 
 from __future__ import annotations
 
-import struct
-import zlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import ALIGNMENTS
-
-_BASES = "=ACMGRSVTWYHKDBN"
-_CIGAR = "MIDNSHP=X"
-_WIDTHS = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
-BATCH = 20_000
+from .bam import BASES as _BASES  # noqa: F401
+from .bam import CIGAR as _CIGAR  # noqa: F401
+from .bam import header_of, read_bam, write_bam  # noqa: F401
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -32,91 +24,6 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def inflate(data: bytes) -> bytes:
-    """All blocks of a BGZF (or any multi-member gzip) file."""
-    out = []
-    while data:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data) + member.flush())
-        data = member.unused_data
-    return b"".join(out)
-
-
-def references(data: bytes) -> tuple[list[tuple[str, int]], int]:
-    """(name, length) of the references of an inflated BAM file, and where its alignments start."""
-    if data[:4] != b"BAM\1":
-        raise ValueError("no BAM file")
-    (at,) = struct.unpack_from("<i", data, 4)
-    at += 8
-    (n,), at, out = struct.unpack_from("<i", data, at), at + 4, []
-    for _ in range(n):
-        (size,) = struct.unpack_from("<i", data, at)
-        name = data[at + 4 : at + 3 + size].decode()
-        (length,) = struct.unpack_from("<i", data, at + 4 + size)
-        out.append((name, length))
-        at += 8 + size
-    return out, at
-
-
-def _tags(data: bytes, at: int, end: int) -> dict[str, str]:
-    out = {}
-    while at + 3 <= end:
-        name, kind = data[at : at + 2].decode(), chr(data[at + 2])
-        at += 3
-        if kind in "ZH":
-            stop = data.index(b"\0", at)
-            if kind == "Z":
-                out[name] = data[at:stop].decode()
-            at = stop + 1
-        elif kind == "B":
-            (n,) = struct.unpack_from("<i", data, at + 1)
-            at += 5 + n * _WIDTHS[chr(data[at])]
-        else:
-            at += _WIDTHS[kind]
-    return out
-
-
-def alignments(data: bytes) -> Iterator[tuple]:
-    """Rows of the table of an inflated BAM file."""
-    names, at = references(data)
-    while at < len(data):
-        size, ref, pos, n_name, _, _, n_ops, flag, n_seq, _, _, _ = struct.unpack_from("<3i2B3H4i", data, at)
-        end = at + 4 + size
-        at += 36 + n_name
-        ops = struct.unpack_from(f"<{n_ops}I", data, at)
-        at += 4 * n_ops
-        packed = data[at : at + (n_seq + 1) // 2]
-        seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:n_seq]
-        tags = _tags(data, at + len(packed) + n_seq, end)
-        yield names[ref][0] if ref >= 0 else None, pos if pos >= 0 else None, "".join(f"{o >> 4}{_CIGAR[o & 15]}" for o in ops) or "*", seq, flag, tags
-        at = end
-
-
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of BAM files, a task a file; path may be a pattern or a folder."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["rname", "pos", "cigar", "seq", "flag", "tags"]
-        for batch in batches:
-            for content in batch["content"]:
-                held = []
-                for row in alignments(inflate(bytes(content))):
-                    held.append(row)
-                    if len(held) == BATCH:
-                        yield _frame(held, names)
-                        held = []
-                if held:
-                    yield _frame(held, names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, ALIGNMENTS)
-
-
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=names)
-    return frame.astype({"pos": "Int64", "flag": "int32"})
-
-
 def bam_references(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """(name, length) of the references of the first of the files."""
-    content = spark.read.format("binaryFile").load(path).orderBy("path").select("content").first()[0]
-    return references(inflate(bytes(content)))[0]
+    return header_of(spark, path)[1]

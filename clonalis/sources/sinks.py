@@ -167,8 +167,44 @@ def barcode_attributes(cells: DataFrame, barcodes: DataFrame, n: int = 6) -> Dat
     return t.select(*out)
 
 
-def write_outputs(folder: str, found: dict, require_umis: bool = True, matrix: str | None = None, highlight: DataFrame | None = None, with_original: bool = True) -> None:
-    """The files of a run from the tables that a pipeline returns."""
+def log_lines(metrics: list[tuple], notes: Iterable[str] = (), matrix: str | None = None, with_mean: bool = True) -> Iterable[str]:
+    """The lines of log.txt: notes, then a run's counts by stage. Other programs read them, so their wording is fixed."""
+    m = {(stage, name): value for stage, name, value in metrics}
+    yield from notes
+    # fixed values: the wording of the lines
+    yield f"Read {m['reads', 'total']} reads containing (parts of) the cloneID ({m['reads', 'n_full']} full cloneIDs, {m['reads', 'n_distinct_full']} unique)"
+    if ("molecules", "total") in m:
+        yield f"Detected {m['molecules', 'total']} molecules ({m['molecules', 'n_full']} full cloneIDs, {m['molecules', 'n_distinct_full']} unique)"
+    worded = (
+        (("molecules", "after_complexity"), "{} remain after low-complexity filtering"),
+        (("molecules_corrected", "n_distinct_full"), "After cloneID correction, {} unique cloneIDs remain"),
+        (("molecules_kept", "n_distinct_full"), "After filtering cloneIDs, {} unique cloneIDs remain"),
+        (("cells", "n"), "Detected {} cells"),
+        (("molecules", "single_read_clone_ids"), "Found {} single-read cloneIDs"),
+        (("cells_filtered", "n"), "{} filtered cells remain"),
+        (None, f"Writing {matrix.split('_')[0].replace('umi', 'UMI')} matrix" if matrix else None),
+        (("bridges_1", "removed"), "Removing {} bridges from the graph"),
+        (("doublets_1", "removed"), "Removing {} doublets from the graph (first round)"),
+        (("bridges_2", "removed"), "Removing {} bridges from the graph (second round)"),
+        (("doublets_2", "removed"), "Removing {} doublets from the graph (second round)"),
+        (("clones", "n"), "Detected {} clones"),
+    )
+    for key, words in worded:
+        if words and (key is None or key in m):
+            yield words.format(m.get(key))
+    yield "Clone size histogram"
+    yield " size count"
+    for (stage, size), n in m.items():
+        if stage == "clone_size":
+            yield f"{size:5d} {n:5d}"
+    if with_mean and m.get(("clones", "mean_size")) is not None:
+        yield f"Average clone size: {m['clones', 'mean_size']:.2f}"
+
+
+def write_outputs(
+    folder: str, found: dict, require_umis: bool = True, matrix: str | None = None, highlight: DataFrame | None = None, with_original: bool = True, notes: Iterable[str] = (),
+) -> None:
+    """The files of a run from the tables that a pipeline returns; notes come first in log.txt."""
     base = Path(folder)
     base.mkdir(parents=True, exist_ok=True)
     at = lambda name: str(base / name)
@@ -186,6 +222,4 @@ def write_outputs(folder: str, found: dict, require_umis: bool = True, matrix: s
         write_doublets(at("doublets.txt"), found["doublets"])
     write_clones(at("clones.txt"), found["clones"])
     write_clone_details(at("clone_details.txt"), found["clone_details"])
-    with open(at("log.txt"), "w") as out:
-        for stage, metric, value in found["metrics"]:
-            out.write(f"{stage}\t{metric}\t{value}\n")
+    write_lines(at("log.txt"), log_lines(found["metrics"], notes, matrix, with_original))

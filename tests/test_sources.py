@@ -222,3 +222,22 @@ def test_command_line(spark, tmp_path, capsys):
         cli.run(spark, a)
     cli.quality(spark, cli.parser().parse_args(["qc", str(tmp_path / "out")]))
     assert (tmp_path / "out/quality/clone_sizes").is_dir()
+
+
+def test_bam_run_keeps_its_alignments_and_logs(spark, tmp_path):
+    from clonalis import __main__ as cli
+
+    args = ["--chr", "chrX", "-s", "101", "-e", "110", "--min-length", "5", "--keep-single-reads", "--keep-cross-contamination"]
+    (tmp_path / "s").mkdir()
+    cli.run(spark, cli.parser().parse_args(["run10x", sam_file(tmp_path / "s"), *args, "-o", str(tmp_path / "sam")]))
+    cli.run(spark, cli.parser().parse_args(["run10x", bam_file(tmp_path / "s"), *args, "-o", str(tmp_path / "bam"), "--umi-matrix"]))
+    for name in ("reads.txt", "molecules.txt", "cells.txt", "clones.txt"):
+        assert (tmp_path / "sam" / name).read_text() == (tmp_path / "bam" / name).read_text()
+    assert not (tmp_path / "sam/entries.bam").exists()
+    back, _ = al.read_alignments(af.read_bam(spark, str(tmp_path / "bam/entries.bam")), "chrX", *SPAN)
+    n = len((tmp_path / "bam/reads.txt").read_text().splitlines()) - 1
+    assert back.count() == n == af.read_bam(spark, str(tmp_path / "bam/entries.bam")).count()
+    lines = (tmp_path / "bam/log.txt").read_text().splitlines()
+    assert lines[0].startswith("Reading cloneIDs from chrX:101-110 in ") and lines[1] == f"Found {n} reads with usable cloneIDs and UMIs. Skipped 1 without cell id, 2 without UMI."
+    assert lines[2].startswith(f"Read {n} reads containing (parts of) the cloneID (") and "Writing UMI matrix" in lines and lines[-1].startswith("Average clone size: ")
+    assert lines.index(" size count") == lines.index("Clone size histogram") + 1

@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import alignments as al
 from ..functions import sequences as sq
 from ..materialize import materialize
 from ..operators import cells as cl
@@ -17,7 +18,7 @@ from ..operators import molecules as ml
 from ..operators import quality as qc
 from ..sources import dataset
 from . import oracles as o
-from .derived import derived_reads
+from .derived import derived_alignments, derived_reads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -69,6 +70,19 @@ def _pruned(spark, sf, threshold):
     return graph, gone, cells
 
 
+# alignments
+
+
+@_query(o.ALIGNMENTS, "SELECT replace(cb, '-1', '') AS cell_id, ub AS umi, clone_id FROM cloned JOIN near USING (id)")
+def alignments_usable(spark, sf):
+    return al.read_alignments(derived_alignments(spark, sf), "chrX", 100, 130)[0]
+
+
+@_query(o.ALIGNMENTS, "SELECT count_if(cb IS NULL) AS no_cell_id, count_if(ub IS NULL OR ub = '') AS no_umi FROM near")
+def alignments_counters(spark, sf):
+    return al.read_alignments(derived_alignments(spark, sf), "chrX", 100, 130)[1]
+
+
 # reads and molecules
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .derived import CTES
+from .derived import ALIGNMENT_CTES, CTES
 
 _SPAN = "range(1, 31) r(i)"
 _KNOWN = "length(translate({c}, '-0', ''))"
@@ -147,3 +147,17 @@ def sql(ctes: list[tuple[str, str]], final: str) -> str:
     if not ctes:
         return final
     return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({text})" for name, text in ctes) + "\n" + final
+
+
+_AT = "a + b + c + d + (r - pos - b - d - e)"
+#: Alignments near the span of positions 100 to 129, and the base of each over each position.
+ALIGNMENTS = [
+    *ALIGNMENT_CTES,
+    ("near", "SELECT *, row_number() OVER () AS id, length(seq) AS n FROM alignments WHERE rname = 'chrX' AND pos < 140 AND pos + b + d + e + f > 90"),
+    (
+        "over_span",
+        "SELECT id, r, CASE WHEN r < pos - a THEN '-' WHEN r < pos + b THEN substr(seq, CAST(a + r - pos + 1 AS BIGINT), 1) WHEN r < pos + b + d THEN substr(seq, CAST(a + c + r - pos + 1 AS BIGINT), 1) "
+        f"WHEN r < pos + b + d + e THEN '0' WHEN r < pos + b + d + e + f + g THEN substr(seq, CAST({_AT} + 1 AS BIGINT), 1) ELSE '-' END AS ch FROM near, range(100, 130) t(r) WHERE cb IS NOT NULL AND ub <> ''",
+    ),
+    ("cloned", "SELECT id, string_agg(ch, '' ORDER BY r) AS clone_id FROM over_span GROUP BY id HAVING count_if(ch NOT IN ('-', '0')) > 0"),
+]

@@ -241,3 +241,22 @@ def test_bam_run_keeps_its_alignments_and_logs(spark, tmp_path):
     assert lines[0].startswith("Reading cloneIDs from chrX:101-110 in ") and lines[1] == f"Found {n} reads with usable cloneIDs and UMIs. Skipped 1 without cell id, 2 without UMI."
     assert lines[2].startswith(f"Read {n} reads containing (parts of) the cloneID (") and "Writing UMI matrix" in lines and lines[-1].startswith("Average clone size: ")
     assert lines.index(" size count") == lines.index("Clone size histogram") + 1
+
+
+def test_projection_of_tables(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(95, "*", "ACGT"), (95, "4S", "ACGT"), (95, "30M", "*"), (95, "30M", ""), (95, None, "ACGT"), (None, "4M", "ACGT"), (20, "5M70000N5M", "ACGTACGTAC")]
+    for _ in range(400):
+        inner = [(int(rng.integers(1, 12)), str(rng.choice(list("MIDN=X")))) for _ in range(int(rng.integers(0, 6)))]
+        ops = [(2, "H")] * int(rng.integers(0, 2)) + [(int(rng.integers(1, 9)), "S")] * int(rng.integers(0, 2)) + [(int(rng.integers(1, 9)), "M"), *inner, (1, "M")]
+        ops += [(int(rng.integers(1, 30)), "S")] * int(rng.integers(0, 2)) + [(3, "H")] * int(rng.integers(0, 2))
+        n = sum(m for m, op in ops if op in "MIS=X")
+        rows.append((int(rng.integers(60, 130)), "".join(f"{m}{op}" for m, op in ops), "".join(rng.choice(list("ACGTN"), n))))
+    table = spark.createDataFrame(rows, "pos long, cigar string, seq string")
+    for span in (SPAN, (95, 125), (104, 106), (0, 400)):
+        for r in al.extract_clone_ids(table, *span).collect():
+            usable = None not in (r.pos, r.cigar) and r.cigar.strip("0123456789S*") and r.seq not in ("", "*")
+            want = plain_project(r.pos, r.cigar, r.seq, *span) if usable else None
+            assert r.clone_id == want, (r, span)

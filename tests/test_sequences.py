@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,46 @@ def test_all_kmers_against_brute_force(spark, tmp_path):
             want[i, text[k : k + 7]] = want.get((i, text[k : k + 7]), 0) + 1
     got = catalogue.QUERIES["text_kmers_all"](spark, str(tmp_path)).collect()
     assert {(r.doc_id, r.kmer): r.n for r in got} == want and len(got) == len(want) and 1 in want.values()
+
+
+def test_molecules_that_go_on_in_the_next_batch(spark):
+    rng = np.random.default_rng(5)
+    rows = [("c1", "u1", "".join(rng.choice(list("ACGT-0N"), 12))) for _ in range(40)] + [("c1", "u2", "ACGT")] * 3 + [("c1", None, "NCGé"), ("c1", None, "NCGT"), ("c2", "u1", None), (None, "u1", "ACGT")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {(r.cell_id, r.umi): (r.clone_id, r.read_count) for r in ml.compute_molecules(spark.createDataFrame(rows, "cell_id string, umi string, clone_id string")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {("c1", "u1"): (consensus([r[2] for r in rows[:40]]), 40), ("c1", "u2"): ("ACGT", 3), ("c1", None): ("ACGT", 2), ("c2", "u1"): (None, 1), (None, "u1"): ("ACGT", 1)}
+
+
+def test_similar_pairs_of_many_masks_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    ids = set()
+    for _ in range(40):
+        base = rng.choice(list("ACGT"), 30)
+        for _ in range(8):
+            own = base.copy()
+            own[rng.choice(30, rng.integers(0, 7), replace=False)] = rng.choice(list("ACGTN"))
+            cut = int(rng.integers(0, 11))
+            if cut % 3 == 1:
+                own[:cut] = "-"
+            elif cut % 3 == 2:
+                own[30 - cut :] = "-"
+            own[2] = "0" if rng.random() < 0.2 else own[2]
+            ids.add("".join(own))
+    ids.add("Z" + "ACGTTGCAATCGGATCCTAGACTTGACGT")
+    ids.add("ACGTTGCAATCGGATCCTAGACTTGACGTA")
+    words = {i: {i[x : x + 7] for x in range(24)} for i in ids}
+    known = lambda a, b: [(x, y) for x, y in zip(a, b) if x not in "-0" and y not in "-0"]
+    want = {(a, b) for a in ids for b in ids if a < b and words[a] & words[b] and len(known(a, b)) >= 20 and sum(x != y for x, y in known(a, b)) <= 5}
+    rows = ml.similar_pairs(spark.createDataFrame([(i,) for i in sorted(ids)], "clone_id string"), 20, 5).collect()
+    assert {(r.u, r.v) for r in rows} == want and len(rows) == len(want) and len(want) > 300
+
+
+def test_similar_pairs_compare_few_ids(spark):
+    """IDs without links are found to have none by few comparisons: a k-mer join meets 200 times as many pairs."""
+    rng = np.random.default_rng(3)
+    ids = spark.createDataFrame([("".join(x),) for x in rng.choice(list("ACGT"), (300, 30))], "clone_id string")
+    plan = ml.similar_pairs(ids, 20, 5)._jdf.queryExecution().toString()
+    assert "kmer" not in plan and ml.similar_pairs(ids, 20, 5).count() == 0

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
+from ..materialize import materialize
 from .molecules import deal, in_pairs
 
 
@@ -135,15 +141,57 @@ def simulated_ids(spark: SparkSession, n: int, width: int = 30, seed: int = 1) -
         draws *= 2
 
 
+def _counted(s: list[np.ndarray], t: list[np.ndarray]) -> np.ndarray:
+    """How many pairs of rows of s and t differ in 0, 1, ... places; a plane of bits each, at most 62 of them in use."""
+    pairs, odd = np.zeros(1 << 14, np.int64), np.zeros(64, np.int64)
+    step = max(1, (1 << 17) // len(t[0]))
+    for x in range(0, len(s[0]), step):
+        differ = reduce(np.bitwise_or, [a[x : x + step, None] ^ b for a, b in zip(s, t, strict=True)])
+        places = np.bitwise_count(differ).ravel()
+        two = len(places) // 2 * 2
+        pairs += np.bincount(places[:two].view(np.uint16), minlength=len(pairs))  # two distances at once
+        odd[places[two:]] += 1
+    pairs = pairs.reshape(64, 256)
+    return odd + pairs.sum(axis=1) + pairs.sum(axis=0)[:64]
+
+
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(distance, n) of the pairs between two lots of packed IDs, or within one where i = j."""
+    for batch in batches:
+        total = np.zeros(64, np.int64)
+        for row in range(batch.num_rows):
+            lots = [batch.column(k)[row].values for k in (2, 3)]
+            known = np.concatenate([lot.field("known").to_numpy() for lot in lots])
+            if (known != known[0]).any():
+                raise ValueError("sequences of unequal lengths")
+            kind = np.uint32 if int(known[0]) < 1 << 32 else np.int64
+            planes = [[lot.field(x).to_numpy().astype(kind) for lot in lots] for x in "abn"]
+            planes = [p for p in planes if p[0].any() or p[1].any()] or planes[:1]
+            found = _counted([p[0] for p in planes], [p[1] for p in planes])
+            if batch.column(0)[row] == batch.column(1)[row]:
+                found[0] -= len(lots[0])
+                found //= 2
+            total += found
+        places = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(total[places])], names=["distance", "n"])
+
+
 def hamming_histogram(molecules: DataFrame) -> DataFrame:
     """(distance, n_pairs) over all pairs of distinct full cloneIDs. It is a table of all pairs by its
-    definition: the distinct IDs are packed into bits and dealt into blocks, each pair of blocks is a key
-    of an equi-join, and only counts leave it. IDs that don't fit into bits are compared by position."""
-    ids = molecules.select(F.col("clone_id").alias("id")).filter(sq.is_full(F.col("id"))).distinct().select("id", sq.packed(F.col("id")).alias("p"))
-    dealt, blocks = deal(ids, per_block=4096, least=32)
-    a, b = in_pairs(dealt, blocks)
-    unit = (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & ((F.col("a.i") < F.col("a.j")) | (F.col("a.id") < F.col("b.id")))
-    on_bits = a.filter("p is not null").alias("a").join(b.filter("p is not null").alias("b").hint("shuffle_hash"), unit).select(sq.packed_mismatches(F.col("a.p"), F.col("b.p")).alias("distance"))
-    by_place = a.join(b.hint("shuffle_hash"), unit & (F.col("a.p").isNull() | F.col("b.p").isNull())).select(sq.hamming(F.col("a.id"), F.col("b.id")).alias("distance"))
-    counts = [t.groupBy(F.col("distance").cast("long").alias("distance")).agg(F.count("*").alias("n")) for t in (on_bits, by_place)]
-    return counts[0].unionByName(counts[1]).groupBy("distance").agg(F.sum("n").alias("n_pairs"))
+    definition: the distinct IDs are packed into bits and dealt into lots, each pair of lots is a row, whose
+    pairs are counted in bulk, and only counts leave it. IDs that don't fit into bits are compared by position."""
+    ids = materialize(molecules.select(F.col("clone_id").alias("id")).filter(sq.is_full(F.col("id"))).distinct().select("id", sq.packed(F.col("id")).alias("p")))
+    dealt, blocks = deal(ids.filter("p is not null"), per_block=16384, least=8)
+    tasks = max(8, blocks * (blocks + 1) // 4)
+    lots = dealt.groupBy("block").agg(F.collect_list("p").alias("lot"))
+    a, b = (side.select("i", "j", "lot").repartition(tasks, "i", "j").alias(name) for side, name in zip(in_pairs(lots, blocks), "ab", strict=True))
+    rows = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))).select("a.i", "a.j", F.col("a.lot").alias("s"), F.col("b.lot").alias("t"))
+    counts = rows.mapInArrow(_distances, "distance long, n long")
+    if not ids.filter("p is null").isEmpty():
+        dealt, blocks = deal(ids, per_block=4096, least=32)
+        a, b = in_pairs(dealt, blocks)
+        unit = (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & ((F.col("a.i") < F.col("a.j")) | (F.col("a.id") < F.col("b.id")))
+        for x, y in (("a.p is null", "true"), ("a.p is not null", "b.p is null")):
+            by_place = a.filter(x).alias("a").join(b.filter(y).alias("b").hint("shuffle_hash"), unit).select(sq.hamming(F.col("a.id"), F.col("b.id")).alias("distance"))
+            counts = counts.unionByName(by_place.groupBy("distance").agg(F.count("*").alias("n")))
+    return counts.groupBy("distance").agg(F.sum("n").alias("n_pairs"))

@@ -195,3 +195,20 @@ def test_trimmed_overlap(spark):
     same = [w for w in wanted if len(w[2]) == len(w[3])]
     got = qc.trimmed_overlap(spark.createDataFrame([w[:2] for w in same], "u string, v string")).collect()
     assert sorted((r.u, r.v, r.s, r.t, r.distance) for r in got) == sorted((*w, sum(a != b for a, b in zip(w[2], w[3], strict=True))) for w in same) and len(same) > 150
+
+
+@pytest.mark.parametrize("width,letters", [(6, "ACGT"), (6, "ACGTN"), (40, "ACGT"), (6, "ACGTx")])
+def test_histogram_of_all_pairs_against_brute_force(spark, width, letters):
+    rng = np.random.default_rng(width)
+    ids = sorted({"".join(x) for x in rng.choice(list(letters), (71, width))})
+    want = {}
+    for a, b in itertools.combinations(ids, 2):
+        d = sum(x != y for x, y in zip(a, b, strict=True))
+        want[d] = want.get(d, 0) + 1
+    got = qc.hamming_histogram(spark.createDataFrame([(i,) for i in [*ids, ids[0], "A" * (width - 1) + "-"]], "clone_id string")).collect()
+    assert {r.distance: r.n_pairs for r in got} == want and len(got) == len(want)
+
+
+def test_histogram_of_unequal_lengths(spark):
+    with pytest.raises(Exception, match="unequal"):
+        qc.hamming_histogram(spark.createDataFrame([("ACG",), ("ACGT",)], "clone_id string")).collect()

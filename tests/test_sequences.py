@@ -176,3 +176,9 @@ def test_similar_pairs_compare_few_ids(spark):
     ids = spark.createDataFrame([("".join(x),) for x in rng.choice(list("ACGT"), (300, 30))], "clone_id string")
     plan = ml.similar_pairs(ids, 20, 5)._jdf.queryExecution().toString()
     assert "kmer" not in plan and ml.similar_pairs(ids, 20, 5).count() == 0
+
+
+def test_molecules_are_shuffled_once(spark):
+    reads = spark.createDataFrame([("c", "u", "ACGT")] * 3, "cell_id string, umi string, clone_id string")
+    plan = ml.compute_molecules(reads)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "HashAggregate" not in plan

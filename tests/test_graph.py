@@ -212,3 +212,10 @@ def test_histogram_of_all_pairs_against_brute_force(spark, width, letters):
 def test_histogram_of_unequal_lengths(spark):
     with pytest.raises(Exception, match="unequal"):
         qc.hamming_histogram(spark.createDataFrame([("ACG",), ("ACGT",)], "clone_id string")).collect()
+
+
+def test_places_of_cells_are_found_once(spark):
+    cells = spark.createDataFrame([("a", "x", 2, 1), ("b", "x", 2, 1), ("c", "y", 1, 1)], "cell_id string, clone_id string, count long, ord long")
+    clones, details = cn.clone_table(gr.make_graph(cells), cells)
+    assert "collect_set" not in clones._jdf.queryExecution().optimizedPlan().toString() + details._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, clones.collect())) == [(1, "a"), (1, "b"), (2, "c")]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from clonalis.operators import cells as cl
 from clonalis.operators import clones as cn
+from clonalis.operators import components as cc
 from clonalis.operators import graph as gr
 from clonalis.operators import quality as qc
 from clonalis.operators.components import connected_components
@@ -74,6 +75,25 @@ def test_against_plain_versions(spark, seed, n, p):
     assert {r.node: r.component for r in connected_components(e, limit=0).collect()} == want
 
 
+def test_components_of_dealt_edges_need_no_rounds(spark, monkeypatch):
+    rng, written, write = np.random.default_rng(4), [], cc.materialize
+    monkeypatch.setattr(cc, "materialize", lambda df: written.append(write(df)) or written[-1])
+    at = rng.permutation(300).tolist()
+    edges = [(f"n{a:03d}", f"n{b:03d}") for a, b in zip(at[:-1], at[1:], strict=True) if a % 29]
+    e = spark.createDataFrame([edges[k] for k in rng.permutation(len(edges))] + [("x", "x"), ("x", None)], "u string, v string").repartition(4)
+    want = plain_components({x for p in edges for x in p}, edges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {r.node: r.component for r in connected_components(e).collect()} == want
+        assert len(written) <= 2
+        got = connected_components(e, limit=40).collect()
+        assert {r.node: r.component for r in got} == want and len(got) == len(want)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    longs = spark.createDataFrame([(12, 5), (5, 100), (7, 8)], "u long, v long").repartition(3)
+    assert {r.node: r.component for r in connected_components(longs).collect()} == {12: 5, 5: 5, 100: 5, 7: 7, 8: 7}
+
+
 def cell_frame(spark, sets):
     rows = [(c, i, n, k + 1) for c, own in sets.items() for k, (i, n) in enumerate(own.items())]
     return spark.createDataFrame(rows, "cell_id string, clone_id string, count long, ord long")

@@ -25,5 +25,10 @@ def clone_table(graph: CellGraph, cells: DataFrame) -> tuple[DataFrame, DataFram
     return placed.join(t.select("component", "clone_nr"), "component").select("clone_nr", "cell_id"), details
 
 
+def sizes(graph: CellGraph) -> DataFrame:
+    """(component, n_cells) of the clones, from the cells of each node: without their names and members."""
+    return components(graph).join(graph.nodes.select("node_id", "n"), "node_id").groupBy("component").agg(F.sum("n").alias("n_cells"))
+
+
 def clone_size_histogram(details: DataFrame) -> DataFrame:
     return details.groupBy(F.col("n_cells").alias("size")).agg(F.count("*").alias("n_clones"))

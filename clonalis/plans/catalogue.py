@@ -273,7 +273,7 @@ def _details(spark, sf, threshold):
 
 
 def _sizes(spark, sf, threshold):
-    return cn.clone_size_histogram(_details(spark, sf, threshold))
+    return cn.clone_size_histogram(cn.sizes(_pruned(spark, sf, threshold)[0]))
 
 
 _GRAPH_QUERIES = {

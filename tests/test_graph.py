@@ -135,6 +135,7 @@ def test_pruning_clones_and_density(spark):
     assert [r.clone_id for r in rows] == sorted(r.clone_id for r in rows)
     assert next(r for r in rows if r.clone_id == "k").clone_ids_per_cell == 1.0
     assert {r.size: r.n_clones for r in cn.clone_size_histogram(details).collect()}[2] >= 1
+    assert sorted(r.n_cells for r in cn.sizes(pruned).collect()) == sorted(r.n_cells for r in rows)
     density = {r.component: r for r in gr.component_density(graph).collect()}
     assert density["e"].n_cells == 2 and density["e"].n_edges == 1 and density["e"].complete
     assert not density["a1"].complete

@@ -8,6 +8,7 @@ from clonalis.operators import cells as cl
 from clonalis.operators import clones as cn
 from clonalis.operators import components as cc
 from clonalis.operators import graph as gr
+from clonalis.operators import molecules as ml
 from clonalis.operators import quality as qc
 from clonalis.operators.components import connected_components
 from clonalis.plans import catalogue
@@ -235,6 +236,14 @@ def test_histogram_of_unequal_lengths(spark):
         qc.hamming_histogram(spark.createDataFrame([("ACG",), ("ACGT",)], "clone_id string")).collect()
 
 
+def test_correction_counts_the_molecules_once(spark):
+    mols = spark.createDataFrame([("a", str(i), "ACGTACGTTGCAACGTTGCATTAGGCATCA"[:29] + "AAC"[i], 1) for i in range(3)], "cell_id string, umi string, clone_id string, read_count long")
+    found = ml.correction_map(mols)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan
+    assert [tuple(r) for r in found.collect()] == [("ACGTACGTTGCAACGTTGCATTAGGCATCC", "ACGTACGTTGCAACGTTGCATTAGGCATCA")]
+
+
 def test_places_of_cells_are_found_once(spark):
     cells = spark.createDataFrame([("a", "x", 2, 1), ("b", "x", 2, 1), ("c", "y", 1, 1)], "cell_id string, clone_id string, count long, ord long")
     clones, details = cn.clone_table(gr.make_graph(cells), cells)

@@ -11,7 +11,7 @@ for the unlabelled rows from their mean, between those of labelled positives and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -20,13 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Scratch, lean
+from .runtime import Scratch, lean, release
 from .textvec import NON_SPACE, Words, mix, utf8_chunks, words_of
 
 #: Text described at once.
 LOT_BYTES = 1 << 19
 #: Bound of the sample of labelled rows, those of least hash; the parameter max_labelled.
 LABELLED = 20_000
+#: Labelled rows whose basis the driver has at once.
+LOT_ROWS = 1000
 HIDDEN, STEPS, RATE, SEED = 128, 1500, 0.02, 9
 #: Weights of the squared coefficients: of the numbers that describe a text, and of hashed features and hidden units with
 #: RIDGE_ROWS trusted positives; the latter two fall with more of them. DOUBT: labelled rows that the labelled share is worth.
@@ -144,11 +146,26 @@ def sums_of(basis: np.ndarray) -> Sums:
     return Sums(float(len(basis)), basis.sum(axis=0), basis.T @ basis)
 
 
+def moments(lots: Callable[[], Iterator[np.ndarray]], d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of the columns of all lots, which are read twice; 0 and 0 without rows."""
+    n, total = 0, np.zeros(d)
+    for x in lots():
+        n, total = n + len(x), total + x.sum(axis=0)
+    mean, square = total / max(1, n), np.zeros(d)
+    for x in lots():
+        square += ((x - mean) ** 2).sum(axis=0)
+    return mean, np.sqrt(square / max(1, n))
+
+
 def blank_model(sample: np.ndarray, dense: int | None = None) -> Model:
     """A model without weights, standardised by a sample; hidden units see the first ``dense`` features."""
     d = sample.shape[1]
+    return standardised(*((sample.mean(axis=0), sample.std(axis=0) + 1e-2) if len(sample) else (np.zeros(d), np.ones(d))), dense)
+
+
+def standardised(shift: np.ndarray, scale: np.ndarray, dense: int | None = None) -> Model:
+    d = len(shift)
     rng = np.random.default_rng(SEED)
-    shift, scale = (sample.mean(axis=0), sample.std(axis=0) + 1e-2) if len(sample) else (np.zeros(d), np.ones(d))
     dense = d if dense is None else dense
     return Model(shift, scale, rng.normal(0, 1.5 / np.sqrt(dense), (dense, HIDDEN)), rng.uniform(-1, 1, HIDDEN), np.zeros(1 + d + HIDDEN), 0.5)
 
@@ -236,8 +253,12 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return source.mapInArrow(lean(rows), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, x binary")
 
 
-def _matrix(rows: list) -> np.ndarray:
-    return np.frombuffer(b"".join(bytes(r["x"]) for r in rows), dtype=np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+def _lots(rows: pa.Table, label: int) -> Iterator[np.ndarray]:
+    """The features of the rows with this label (1, or 0 for any other), LOT_ROWS rows or fewer at once."""
+    for batch in rows.to_batches(max_chunksize=LOT_ROWS):
+        own = batch.filter(pa.array((batch.column("_label").to_numpy() == 1) == bool(label)))
+        if own.num_rows:
+            yield np.frombuffer(b"".join(own.column("x").to_pylist()), dtype=np.float32).reshape(-1, N_FEATURES).astype(np.float64)
 
 
 def _least_hashed(rows: DataFrame, bound: int, salt: str) -> DataFrame:
@@ -290,7 +311,7 @@ def _sums(docs: DataFrame, text_col: str, model: Model, scratch: Scratch) -> Sum
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = LABELLED) -> Model:
     """A model from rows that are not held out. At most max_labelled labelled rows, those of least hash, are
-    described for the driver: the positives are trusted, and the means of both classes give the prior. The
+    described for the driver, as Arrow rows of which it takes LOT_ROWS at once: the positives are trusted, and the means of both classes give the prior. The
     unlabelled rows are all that are not held out, labelled ones too: their sums are taken over all."""
     scratch = Scratch(docs.sparkSession, "quality")
     seen = docs.filter(~held_out(docs[id_col]))
@@ -299,17 +320,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = scratch.save(_least_hashed(ids.join(named, F.col("doc_id") == F.col("_id")).select("doc_id", "_label"), max_labelled, "l").select(F.col("doc_id").alias("_chosen"), "_label"), "chosen")
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     own = texts.join(chosen.select(F.col("_chosen").alias("doc_id")), "doc_id", "left_semi")
-    rows = describe(own).groupBy("doc_id").agg(F.min("x").alias("x")).join(chosen, F.col("doc_id") == F.col("_chosen")).orderBy("doc_id").select("x", "_label").collect()
-    share = float(np.mean([r["_label"] == 1 for r in rows])) if rows else 0.5
-    positive, negative = _matrix([r for r in rows if r["_label"] == 1]), _matrix([r for r in rows if r["_label"] != 1])
-    if not len(positive):
+    rows = describe(own).groupBy("doc_id").agg(F.min("x").alias("x")).join(chosen, F.col("doc_id") == F.col("_chosen")).orderBy("doc_id").select("x", "_label").toArrow()
+    labelled = rows.column("_label").to_numpy() == 1
+    share = float(labelled.mean()) if len(labelled) else 0.5
+    if not labelled.any():
         return constant(N_FEATURES, share)
-    model = blank_model(np.concatenate([positive, negative]), N_DENSE)
+    shift, scale = moments(lambda: (x for label in (1, 0) for x in _lots(rows, label)), N_FEATURES)
+    model = standardised(shift, scale + 1e-2, N_DENSE)
+    dense, d = slice(1, 1 + N_DENSE), len(model.weights)
+    positive, ends = Sums(0.0, np.zeros(d), np.zeros((d, d))), ([np.zeros((0, N_DENSE))], [np.zeros((0, N_DENSE))])
+    for label in (1, 0):
+        for x in _lots(rows, label):
+            basis = model.basis(x)
+            ends[label].append(basis[:, dense].copy())
+            if label:
+                positive = Sums(*(a + b for a, b in zip(positive, sums_of(basis), strict=True)))
+    del rows
     unlabelled = _sums(seen, text_col, model, scratch)
-    positive, negative = model.basis(positive), model.basis(negative)
-    dense = slice(1, 1 + N_DENSE)
-    prior = estimated_prior(Sums(unlabelled.n, unlabelled.first[dense], unlabelled.second[dense, dense]), positive[:, dense], negative[:, dense], share)
-    return model._replace(weights=minimise(sums_of(positive), unlabelled, prior, ridges(model, len(positive), WORDS + TRIGRAMS)), prior=prior)
+    negatives, positives = (np.concatenate(e) for e in ends)
+    prior = estimated_prior(Sums(unlabelled.n, unlabelled.first[dense], unlabelled.second[dense, dense]), positives, negatives, share)
+    model = model._replace(weights=minimise(positive, unlabelled, prior, ridges(model, positive.n, WORDS + TRIGRAMS)), prior=prior)
+    release()
+    return model
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

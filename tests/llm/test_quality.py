@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -34,6 +35,24 @@ def test_held_out_labels_do_not_matter(spark):
     assert all(np.array_equal(a, b) for a, b in zip(one, two, strict=True))
 
 
+def test_driver_holds_few_labelled_rows_at_once(spark):
+    docs = spark.range(9000).selectExpr("id AS doc_id", "repeat(concat('word', id % 37, ' and more. '), int(1 + id % 5)) AS text")
+    labels = spark.range(9000).selectExpr("id AS doc_id", "int(id % 2) AS quality")
+    q.train(docs.limit(10), labels)
+    tracemalloc.start()
+    q.train(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48e6
+
+
+def test_lots_give_the_moments_of_the_whole():
+    x = np.random.default_rng(3).normal(5, 2, (2500, 7))
+    mean, deviation = q.moments(lambda: (x[i : i + 999] for i in range(0, len(x), 999)), 7)
+    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(deviation, x.std(axis=0))
+    assert not np.any(q.moments(lambda: iter(()), 7))
+
+
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, 0.1), (2, "", 0.2), (2, "", 0.2), (None, "x y", 0.3), (4, "Long text. " * 5000, 0.4), (5, " \n", 0.5)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -176,6 +176,24 @@ def test_matrix_query_holds_all_filtered_cells(spark):
     assert rows == {i: [want.get((i, c), 0) for c in cells] for i in {i for i, _ in want}}
 
 
+def test_matrix_is_filled_up_after_the_shuffles(spark, monkeypatch):
+    monkeypatch.setattr(cl, "_BATCH_VALUES", 1000, raising=False)
+    monkeypatch.setattr(cl, "_TASK_VALUES", 4000, raising=False)
+    held = [(f"c{k:03}", f"i{k * m % 31:02}", k % 5 + m) for k in range(300) for m in (1, 2)] + [("c300", "i00", None), ("c301", None, 7)]
+    cells = spark.createDataFrame(held, "cell_id string, clone_id string, count long")
+    found = cl.count_matrix(cells)
+    assert "pivotfirst" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    want = {}
+    for cell, i, n in held:
+        want[i, cell] = want.get((i, cell), 0) + (n or 0)
+    names = sorted({h[0] for h in held})
+    assert found.columns == ["clone_id", *names] and {t for _, t in found.dtypes[1:]} == {"bigint"}
+    rows = found.collect()
+    assert len(rows) == 32 and {r[0]: list(r)[1:] for r in rows} == {i: [want.get((i, c), 0) for c in names] for i in {h[1] for h in held}}
+    none = cl.count_matrix(cells.limit(0))
+    assert none.columns == ["clone_id"] and none.collect() == []
+
+
 def test_matrix_and_its_order(spark):
     sets = {f"c{i}": {x: 1 for x in own} for i, own in enumerate(["ab", "ab", "bc", "cd", "z", "a"])}
     matrix = qc.jaccard_matrix(cell_frame(spark, sets))
